@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import common, records
+from rankloom.llm import common, packing, records, token_counts
 
 
 def tokenizer_path() -> str:
@@ -20,8 +20,17 @@ def op3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(spark, path, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(common.table(spark, sf_dir, "documents"), tokenizer_path())
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "turn", "bins", "bound")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(common.table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_records": op3_records}
+    return {"op2_packing": op2_packing, "op3_records": op3_records, "op5_token_counts": op5_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
