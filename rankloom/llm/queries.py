@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rankloom.llm import common, packing, records, token_counts
+from rankloom.llm import common, packing, records, secrets, simhash, token_counts
 
 
 def tokenizer_path() -> str:
@@ -29,8 +30,23 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(common.table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(common.table(spark, sf_dir, "documents"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_packing": op2_packing, "op3_records": op3_records, "op5_token_counts": op5_token_counts}
+    return {
+        "op2_packing": op2_packing,
+        "op3_records": op3_records,
+        "op5_token_counts": op5_token_counts,
+        "op7_secrets": op7_secrets,
+        "op10_simhash": op10_simhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
