@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import common, packing, records, secrets, simhash, token_counts
+from rankloom.llm import common, packing, records, secrets, simhash, substrings, token_counts
 
 
 def tokenizer_path() -> str:
@@ -34,6 +34,11 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(common.table(spark, sf_dir, "documents"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.deduplicate(common.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -45,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_records": op3_records,
         "op5_token_counts": op5_token_counts,
         "op7_secrets": op7_secrets,
+        "op8_substrings": op8_substrings,
         "op10_simhash": op10_simhash,
     }
 
