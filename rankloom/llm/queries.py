@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import common, packing, records, secrets, simhash, substrings, token_counts
+from rankloom.llm import common, decontamination, packing, quality, records, secrets, simhash, substrings, token_counts
 
 
 def tokenizer_path() -> str:
@@ -21,6 +21,11 @@ def op3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(spark, path, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, common.table(spark, sf_dir, "labels")))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(common.table(spark, sf_dir, "documents"), tokenizer_path())
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "turn", "bins", "bound")
@@ -30,6 +35,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(common.table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.scan(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(common.table(spark, sf_dir, "documents"))
 
@@ -46,9 +55,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
         "op2_packing": op2_packing,
         "op3_records": op3_records,
         "op5_token_counts": op5_token_counts,
+        "op6_decontamination": op6_decontamination,
         "op7_secrets": op7_secrets,
         "op8_substrings": op8_substrings,
         "op10_simhash": op10_simhash,
