@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import common, decontamination, packing, quality, records, secrets, simhash, substrings, token_counts
+from rankloom.llm import common, decontamination, packing, quality, records, secrets, simhash, substrings, token_counts, weak_rules
 
 
 def tokenizer_path() -> str:
@@ -31,6 +31,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "turn", "bins", "bound")
 
 
+def op4_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_rules.judge(common.table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(common.table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": op1_quality,
         "op2_packing": op2_packing,
         "op3_records": op3_records,
+        "op4_weak_rules": op4_weak_rules,
         "op5_token_counts": op5_token_counts,
         "op6_decontamination": op6_decontamination,
         "op7_secrets": op7_secrets,
@@ -67,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_weak_rules": weak_rules.oracle_sql()}
