@@ -1,9 +1,10 @@
 """Token counts of whole texts without ids: each distinct pre-token is counted once and joined to its occurrences.
 
-Documents are read in blocks. A block gives one row for each distinct pre-token: the documents of the block that
-hold it and how often. Distinct pre-tokens of all blocks are counted by the tokenizer's own library, the counts are
-joined back to the block rows (a shuffled join, whose hot keys adaptive execution splits), and numbers are summed
-by block and document.
+Documents are read in blocks. A block's pre-tokens, each with the documents that hold it and how often, are dealt
+to buckets by their hash, one packed row for each block and bucket. A task that holds a bucket has all rows of its
+pre-tokens, counts each distinct one once with the tokenizer's own library, joins the counts to the occurrences and
+adds them up by block and document. Pre-tokens that over a sixteenth of a block's documents hold would make a few
+buckets large, so they go to buckets of their own, salted by block.
 
 A pre-token is a run of separators with the text up to the next run: the finest cut that never changes the
 library's result and needs no knowledge of its letter classes. Texts that must not be cut (special strings, rare
@@ -15,6 +16,7 @@ An empty table gives no rows. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -28,13 +30,14 @@ from pyspark.sql import functions as F
 
 from rankloom.llm import common, tokens
 
-#: A block ends at this many documents or characters, whichever comes first.
-BLOCK_DOCS, BLOCK_CHARS = 4096, 12_000_000
+#: A block ends at this many documents (two bytes hold their numbers) or characters, whichever comes first.
+BLOCK_DOCS, BLOCK_CHARS = 16_384, 24_000_000
+#: Stored input for one bucket, and the salts of frequent pre-tokens.
+BUCKET_BYTES, SALTS = 4_000_000, 64
 #: Blocks whose sums one task holds before it hands them on.
-HELD_BLOCKS = 1000
-_POSTINGS = "pretoken string, block long, docs array<int>, times array<int>, doc_ids array<long>, n_bytes array<long>"
-_NAMES = ["pretoken", "block", "docs", "times", "doc_ids", "n_bytes"]
-_TYPES = pa.schema([("pretoken", pa.string()), ("block", pa.int64()), ("docs", pa.list_(pa.int32())), ("times", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64()))])
+HELD_BLOCKS = 500
+_ROWS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("packed", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64()))])
+_SUMS = pa.schema([("block", pa.int64()), ("sums", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64()))])
 
 
 def _pieces_of(path: str):
@@ -56,26 +59,48 @@ def counter(path: str):
     return lambda texts: [len(encoder.ids(t)) // 4 for t in texts]
 
 
-def _block(number: int, ids: list, texts: list[str], cut) -> Iterator[pa.RecordBatch]:
+def pack(names: list[bytes], spans: np.ndarray, docs: np.ndarray, times: np.ndarray) -> bytes:
+    """Names with the lists of documents and times that belong to each (spans: their lengths)."""
+    lens = np.array([len(x) for x in names], "<u4")
+    head = np.array([len(names), len(docs)], "<u4")
+    return zlib.compress(b"".join((head.tobytes(), lens.tobytes(), spans.astype("<u4").tobytes(), docs.astype("<u2").tobytes(), times.astype("<u4").tobytes(), *names)), 1)
+
+
+def unpack(packed: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    data = zlib.decompress(packed)
+    n, m = np.frombuffer(data, "<u4", 2).tolist()
+    lens, spans = np.frombuffer(data, "<u4", n, 8), np.frombuffer(data, "<u4", n, 8 + 4 * n)
+    docs, times = np.frombuffer(data, "<u2", m, 8 + 8 * n), np.frombuffer(data, "<u4", m, 8 + 8 * n + 2 * m)
+    start = 8 + 8 * n + 6 * m
+    ends = (start + np.cumsum(lens, dtype=np.int64)).tolist()
+    return [data[a:b] for a, b in zip([start, *ends], ends, strict=False)], spans, docs, times
+
+
+def _block(number: int, ids: list, texts: list[str], cut, buckets: int) -> Iterator[pa.RecordBatch]:
     vocabulary: dict[str, int] = defaultdict(count().__next__)
     found = [np.fromiter(map(vocabulary.__getitem__, own := cut(t)), np.int64, len(own)) for t in texts]
     keys = np.concatenate(found) * len(texts) + np.repeat(np.arange(len(texts)), [len(x) for x in found])
+    del found
     keys, times = np.unique(keys, return_counts=True)
     which, docs = np.divmod(keys, len(texts))
-    edges = np.searchsorted(which, np.arange(len(vocabulary) + 1)).astype(np.int32)
-    docs, times = docs.astype(np.int32), times.astype(np.int32)
-    names = list(vocabulary)
-    header = [[None], [number], [None], [None], [ids], [[len(t.encode()) for t in texts]]]
-    yield pa.record_batch([pa.array(x, f.type) for x, f in zip(header, _TYPES, strict=True)], schema=_TYPES)
-    for a in range(0, len(names), 20_000):
-        b = min(a + 20_000, len(names))
-        lists = [pa.ListArray.from_arrays(edges[a : b + 1] - edges[a], x[edges[a] : edges[b]]) for x in (docs, times)]
-        empty = pa.nulls(b - a, pa.list_(pa.int64()))
-        yield pa.record_batch([pa.array(names[a:b]), pa.array(np.full(b - a, number)), *lists, empty, empty], schema=_TYPES)
-
-
-def postings(docs: DataFrame, tokenizer: str, block_docs: int = BLOCK_DOCS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Per block: a row with its documents (null pre-token), and a row for each distinct pre-token."""
+    edges = np.searchsorted(which, np.arange(len(vocabulary) + 1))
+    spans = np.diff(edges)
+    yield pa.record_batch([pa.array(x, f.type) for x, f in zip([[-1 - number], [number], [None], [ids], [[len(t.encode()) for t in texts]]], _ROWS, strict=True)], schema=_ROWS)
+    names = [x.encode("utf-8", "surrogatepass") for x in vocabulary]
+    place = np.fromiter((zlib.crc32(x) for x in names), np.int64, len(names)) % buckets
+    place[spans * 16 > max(len(texts), 64)] = buckets + number % SALTS
+    order = np.argsort(place, kind="stable")
+    cuts = [0, *(np.flatnonzero(np.diff(place[order])) + 1).tolist(), len(order)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        own = order[a:b]
+        if len(own):
+            at = np.repeat(edges[own], spans[own]) + np.arange(spans[own].sum()) - np.repeat(np.cumsum(spans[own]) - spans[own], spans[own])
+            packed = pack([names[i] for i in own.tolist()], spans[own], docs[at], times[at])
+            yield pa.record_batch([pa.array(x, f.type) for x, f in zip([[int(place[own[0]])], [number], [packed], [None], [None]], _ROWS, strict=True)], schema=_ROWS)
+
+
+def occurrences(docs: DataFrame, tokenizer: str, buckets: int, block_docs: int = BLOCK_DOCS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Per block: a row with its documents (bucket below zero), and a packed row for each bucket."""
 
     def build(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, number = _pieces_of(tokenizer), TaskContext.get().partitionId() << 32
@@ -86,59 +111,54 @@ def postings(docs: DataFrame, tokenizer: str, block_docs: int = BLOCK_DOCS, bloc
                 texts.append(text)
                 chars += len(text)
                 if len(texts) >= block_docs or chars >= block_chars:
-                    yield from _block(number, ids, texts, cut)
+                    yield from _block(number, ids, texts, cut, buckets)
                     number, ids, texts, chars = number + 1, [], [], 0
         if texts:
-            yield from _block(number, ids, texts, cut)
+            yield from _block(number, ids, texts, cut, buckets)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
-    return rows.mapInArrow(build, _POSTINGS)
+    return rows.mapInArrow(build, "bucket long, block long, packed binary, doc_ids array<long>, n_bytes array<long>")
 
 
-def piece_counts(pretokens: DataFrame, tokenizer: str) -> DataFrame:
-    """pretoken, pieces of each distinct pre-token."""
+def _join(tokenizer: str):
+    """Count the pre-tokens of each bucket, which comes as consecutive rows, once, and add up by block and document."""
 
-    def measure(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted = counter(tokenizer)
+        held: dict[int, np.ndarray] = {}
+        pieces: dict[bytes, int] = {}
+        at = None
+
+        def handed():
+            for b, sums in held.items():
+                yield pa.record_batch([pa.array(x, f.type) for x, f in zip([[b], [sums.astype("<i8").tobytes()], [None], [None]], _SUMS, strict=True)], schema=_SUMS)
+            held.clear()
+
         for part in parts:
-            yield pd.DataFrame({"pretoken": part["pretoken"], "pieces": np.array(counted(part["pretoken"].tolist()), np.int64)})
-
-    return pretokens.select("pretoken").distinct().mapInPandas(measure, "pretoken string, pieces long")
-
-
-def _partial(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums by block and document of what a task has seen."""
-    held: dict[int, np.ndarray] = {}
-
-    def handed():
-        for b, sums in held.items():
-            yield pa.record_batch([pa.array([b]), pa.array([sums.astype("<i8").tobytes()], pa.binary()), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.int64()))], names=["block", "sums", "doc_ids", "n_bytes"])
-        held.clear()
-
-    for part in parts:
-        block, pieces = part.column("block").to_numpy(), part.column("pieces").to_numpy()
-        lists = part.column("docs")
-        edges = lists.offsets.to_numpy()
-        docs = lists.values.to_numpy()
-        value = part.column("times").values.to_numpy() * np.repeat(pieces, np.diff(edges))
-        blocks, at = np.unique(block, return_inverse=True)
-        at = np.repeat(at, np.diff(edges))
-        docs = docs[edges[0] : edges[-1]]
-        order = np.argsort(at, kind="stable")
-        cuts = np.searchsorted(at[order], np.arange(len(blocks) + 1))
-        for k, b in enumerate(blocks.tolist()):
-            own = order[cuts[k] : cuts[k + 1]]
-            more = np.bincount(docs[own], weights=value[own]).astype(np.int64)
-            sums = held.get(b)
-            if sums is None or len(sums) < len(more):
-                grown = np.zeros(len(more), np.int64)
-                if sums is not None:
-                    grown[: len(sums)] = sums
-                held[b] = sums = grown
-            sums[: len(more)] += more
-        if len(held) > HELD_BLOCKS:
-            yield from handed()
-    yield from handed()
+            for k, bucket in enumerate(part.column("bucket").to_pylist()):
+                block = part.column("block")[k].as_py()
+                if bucket < 0:
+                    yield pa.record_batch([pa.array([block]), pa.nulls(1, pa.binary()), part.column("doc_ids").slice(k, 1), part.column("n_bytes").slice(k, 1)], schema=_SUMS)
+                    continue
+                if bucket != at:
+                    pieces, at = {}, bucket
+                names, spans, docs, times = unpack(part.column("packed")[k].as_py())
+                fresh = [x for x in names if x not in pieces]
+                pieces.update(zip(fresh, counted([x.decode("utf-8", "surrogatepass") for x in fresh]), strict=True))
+                own = np.fromiter(map(pieces.__getitem__, names), np.int64, len(names))
+                more = np.bincount(docs, weights=times * np.repeat(own, spans)).astype(np.int64)
+                sums = held.get(block)
+                if sums is None or len(sums) < len(more):
+                    grown = np.zeros(len(more), np.int64)
+                    if sums is not None:
+                        grown[: len(sums)] = sums
+                    held[block] = sums = grown
+                sums[: len(more)] += more
+            if len(held) > HELD_BLOCKS:
+                yield from handed()
+        yield from handed()
+
+    return work
 
 
 def _merge(part: pd.DataFrame) -> pd.DataFrame:
@@ -153,10 +173,8 @@ def _merge(part: pd.DataFrame) -> pd.DataFrame:
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of every document."""
-    found, _ = common.materialize(postings(docs, tokenizer), "postings")
-    rows = found.filter(F.col("pretoken").isNotNull()).select("pretoken", "block", "docs", "times")
-    joined = rows.join(piece_counts(rows, tokenizer), "pretoken").select("block", "docs", "times", "pieces")
-    sums = joined.mapInArrow(_partial, "block long, sums binary, doc_ids array<long>, n_bytes array<long>")
-    headers = found.filter(F.col("pretoken").isNull()).select("block", F.lit(None).cast("binary").alias("sums"), "doc_ids", "n_bytes")
-    merged = headers.unionByName(sums).groupBy("block").applyInPandas(_merge, "doc_id long, n_bytes long, n_tokens long")
+    buckets = min(max(common.partitions_for(docs, BUCKET_BYTES), 64), 65_536)
+    dealt = occurrences(docs, tokenizer, buckets).repartition(common.shuffle_partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
+    sums = dealt.mapInArrow(_join(tokenizer), "block long, sums binary, doc_ids array<long>, n_bytes array<long>")
+    merged = sums.groupBy("block").applyInPandas(_merge, "doc_id long, n_bytes long, n_tokens long")
     return merged.withColumn("over_limit", F.col("n_tokens") > limit)

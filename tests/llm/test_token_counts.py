@@ -32,6 +32,8 @@ def test_equals_library(spark, path):
 
 def test_small_blocks_and_empty(spark):
     pairs = [(k, "one two " * k) for k in range(30)]
-    found = token_counts.postings(documents(spark, pairs), BPE, block_docs=4).filter("pretoken is null")
-    assert found.count() >= 8
+    found = token_counts.occurrences(documents(spark, pairs), BPE, 8, block_docs=4)
+    assert found.filter("bucket < 0").count() >= 8
+    names = [x for r in found.filter("bucket >= 0").collect() for x in token_counts.unpack(r.packed)[0]]
+    assert set(names) == {b"one", b" two", b" one", b" "}
     assert token_counts.token_counts(documents(spark, []), BPE).collect() == []
