@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import common, decontamination, packing, quality, records, secrets, simhash, substrings, token_counts, weak_rules
+from rankloom.llm import common, decontamination, html_blocks, packing, quality, records, secrets, simhash, substrings, token_counts, weak_rules
 
 
 def tokenizer_path() -> str:
@@ -52,6 +52,11 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op9_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = common.table(spark, sf_dir, "pages")
+    return html_blocks.extract(pages, html_blocks.train(pages))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -67,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_decontamination": op6_decontamination,
         "op7_secrets": op7_secrets,
         "op8_substrings": op8_substrings,
+        "op9_html_blocks": op9_html_blocks,
         "op10_simhash": op10_simhash,
     }
 
