@@ -36,8 +36,8 @@ def _gain(definition: Column) -> Column:
     return F.when(definition == "strict", F.when(good, 1).otherwise(0)).otherwise(F.when(good, 2).when(potential, 1).otherwise(0))
 
 
-def query_metrics(ranked: DataFrame, by: tuple[str, ...] = ("pool_variant", "query_id"), recall_k: int = 10, precision_k: int = 5, ndcg_k: int = 10) -> DataFrame:
-    """by, definition, recall, precision, ndcg of every query that has a relevant candidate."""
+def query_metrics(ranked: DataFrame, by: tuple[str, ...] = ("pool_variant", "query_id"), recall_k: int = 10, precision_k: int = 5, ndcg_k: int = 10, places: int | None = None) -> DataFrame:
+    """by, definition, recall, precision, ndcg of every query that has a relevant candidate; rounded only if asked for, never before a mean."""
     each = ranked.select(*by, "doc_id", "relevance", "rn", F.explode(F.array(F.lit("strict"), F.lit("graded"))).alias("definition"))
     each = each.withColumn("gain", _gain(F.col("definition"))).withColumn("rel", (F.col("gain") > 0).cast("int"))
     best = W.partitionBy(*by, "definition").orderBy(F.desc("gain"), "doc_id")
@@ -49,9 +49,8 @@ def query_metrics(ranked: DataFrame, by: tuple[str, ...] = ("pool_variant", "que
         F.sum(F.when(F.col("rn") <= ndcg_k, F.col("gain") / F.log2(F.col("rn") + 1)).otherwise(0.0)).alias("_dcg"),
         F.sum(F.when(F.col("ideal") <= ndcg_k, F.col("gain") / F.log2(F.col("ideal") + 1)).otherwise(0.0)).alias("_best"),
     )
-    return found.filter("_r > 0").select(
-        *by, "definition", F.round(F.col("_hit") / F.col("_r"), 6).alias("recall"), F.round(F.col("_top") / precision_k, 6).alias("precision"), F.round(F.col("_dcg") / F.col("_best"), 6).alias("ndcg")
-    )
+    values = {"recall": F.col("_hit") / F.col("_r"), "precision": F.col("_top") / precision_k, "ndcg": F.col("_dcg") / F.col("_best")}
+    return found.filter("_r > 0").select(*by, "definition", *((v if places is None else F.round(v, places)).alias(k) for k, v in values.items()))
 
 
 def grid(metrics: DataFrame, by: tuple[str, ...]) -> DataFrame:

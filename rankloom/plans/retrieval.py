@@ -209,16 +209,16 @@ def rank_pool(spark, d):
 def _sql_metrics(ranked: str, by: str) -> str:
     return f"""gains AS (SELECT *, row_number() OVER (PARTITION BY {by}, definition ORDER BY gain DESC, doc_id) AS ideal FROM (SELECT {by}, doc_id, rn, definition,
   CASE WHEN definition = 'strict' THEN CASE WHEN relevance = 'good' THEN 1 ELSE 0 END ELSE CASE relevance WHEN 'good' THEN 2 WHEN 'potential' THEN 1 ELSE 0 END END AS gain FROM {ranked} CROSS JOIN (VALUES ('strict'), ('graded')) AS v(definition))),
-metrics AS (SELECT {by}, definition, round(count(*) FILTER (WHERE gain > 0 AND rn <= 10) / CAST(count(*) FILTER (WHERE gain > 0) AS DOUBLE), 6) AS recall, round(count(*) FILTER (WHERE gain > 0 AND rn <= 5) / 5.0::DOUBLE, 6) AS precision,
-  round(sum(CASE WHEN rn <= 10 THEN gain / log2(rn + 1) ELSE 0 END) / sum(CASE WHEN ideal <= 10 THEN gain / log2(ideal + 1) ELSE 0 END), 6) AS ndcg FROM gains GROUP BY ALL HAVING count(*) FILTER (WHERE gain > 0) > 0)"""
+metrics AS (SELECT {by}, definition, count(*) FILTER (WHERE gain > 0 AND rn <= 10) / CAST(count(*) FILTER (WHERE gain > 0) AS DOUBLE) AS recall, count(*) FILTER (WHERE gain > 0 AND rn <= 5) / 5.0::DOUBLE AS precision,
+  sum(CASE WHEN rn <= 10 THEN gain / log2(rn + 1) ELSE 0 END) / sum(CASE WHEN ideal <= 10 THEN gain / log2(ideal + 1) ELSE 0 END) AS ndcg FROM gains GROUP BY ALL HAVING count(*) FILTER (WHERE gain > 0) > 0)"""
 
 
 _SQL_QM = f"{SQL_RANKED}, {_sql_metrics('ranked_pools', 'pool_variant, query_id')}"
 
 
-@query("query_metrics", f"WITH {_SQL_QM} SELECT pool_variant, query_id, definition, recall, precision, ndcg FROM metrics")
+@query("query_metrics", f"WITH {_SQL_QM} SELECT pool_variant, query_id, definition, round(recall, 6) AS recall, round(precision, 6) AS precision, round(ndcg, 6) AS ndcg FROM metrics")
 def query_metrics(spark, d):
-    return evaluation.query_metrics(_ranked(spark, d))
+    return evaluation.query_metrics(_ranked(spark, d), places=6)
 
 
 def _one_metric(name: str):
@@ -251,11 +251,11 @@ def metric_grid(spark, d):
 
 @query("metric_slice", f"""WITH {R.SQL_TEST}, {_sql_bm25("test_pairs")},
 ranked AS (SELECT b.query_id, b.doc_id, CASE label WHEN 'Good Fit' THEN 'good' WHEN 'Potential Fit' THEN 'potential' ELSE 'none' END AS relevance, row_number() OVER (PARTITION BY b.query_id ORDER BY score DESC, b.doc_id) AS rn FROM bm25 b JOIN test_pairs t ON t.query_id = b.query_id AND t.doc_id = b.doc_id),
-{_sql_metrics("ranked", "query_id")} SELECT query_id, definition, recall, precision, ndcg FROM metrics""")
+{_sql_metrics("ranked", "query_id")} SELECT query_id, definition, round(recall, 6) AS recall, round(precision, 6) AS precision, round(ndcg, 6) AS ndcg FROM metrics""")
 def metric_slice(spark, d):
     pairs = R.test_pairs(spark, d)
     judged = pairs.select("query_id", "doc_id", pools.relevance(F.col("label")).alias("relevance"))
-    return evaluation.query_metrics(evaluation.rank(judged, scoring.bm25(pairs, R.queries(spark, d), R.documents(spark, d)), ("query_id",)), ("query_id",))
+    return evaluation.query_metrics(evaluation.rank(judged, scoring.bm25(pairs, R.queries(spark, d), R.documents(spark, d)), ("query_id",)), ("query_id",), places=6)
 
 
 @query("topk_exposure", f"""WITH {SQL_RANKED}, t AS (SELECT pool_variant, query_id, count(*) FILTER (WHERE relevance = 'good') AS a, count(*) FILTER (WHERE relevance <> 'none') AS b, count(*) FILTER (WHERE relevance = 'none' AND source = 'labelled') AS c, count(*) FILTER (WHERE source = 'distractor') AS e FROM ranked_pools WHERE rn <= 5 GROUP BY 1, 2)
