@@ -100,8 +100,10 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = toke
         encoder = tokens.encoder(tokenizer)
         width = 2 if encoder.tokenizer.get_vocab_size() <= 65536 and end_id < 65536 else 4
         for part in parts:
-            ids = [None if pd.isna(i) else int(i) for i in part["doc_id"]]
-            yield pd.DataFrame({"frame": [frame(i, encoder.ids(t) + last, width) for i, t in zip(ids, part["text"], strict=True)]})
+            for at in range(0, len(part), 500):  # a few frames at a time, whatever the size of a batch
+                own = part.iloc[at : at + 500]
+                ids = [None if pd.isna(i) else int(i) for i in own["doc_id"]]
+                yield pd.DataFrame({"frame": [frame(i, encoder.ids(t) + last, width) for i, t in zip(ids, own["text"], strict=True)]})
 
     rows.mapInPandas(encode, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/data")
     write_index(spark, path)

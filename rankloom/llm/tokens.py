@@ -74,9 +74,13 @@ class _Memo(dict):
 
     def __missing__(self, piece: str) -> bytes:
         if len(piece) <= MEMO_CHARS and _LATIN.fullmatch(piece):
-            found = array("I")
-            for part in _PRE_TOKEN.findall(piece):
-                found.extend([t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(_BYTE_LETTERS))])
+            parts = _PRE_TOKEN.findall(piece)
+            if len(parts) > 1:  # its words may be known from elsewhere
+                ids = b"".join(map(self.__getitem__, parts))
+                if len(self) < self.room:
+                    self[piece] = ids
+                return ids
+            found = array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_BYTE_LETTERS))])
         else:
             found = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids)
         ids = found.tobytes()
