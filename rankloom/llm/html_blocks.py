@@ -377,8 +377,11 @@ def train_labeller(sample: list[str], seed: int = 0) -> Labeller:
 
 def train(pages: DataFrame, most_pages: int = MOST_PAGES, most_chars: int = MOST_TRAIN_CHARS, seed: int = 0) -> Labeller:
     """Fit on the first pages by a hash of their id and address; the bounds are those of the module."""
-    usable = pages.filter(F.col("html").isNotNull() & (F.length("html") <= most_chars))
-    rows = usable.orderBy(F.xxhash64("page_id", "url"), F.xxhash64("html")).limit(most_pages).select("html").collect()
+    key = F.xxhash64("page_id", "url", "html")
+    usable = pages.filter(F.col("html").isNotNull() & (F.length("html") <= most_chars)).select(key.alias("key"), F.col("html").cast("string").alias("html"))
+    # Keys are ranked first, so that tasks send the driver keys and only the chosen pages' texts.
+    chosen = usable.select("key").distinct().orderBy("key").limit(most_pages)
+    rows = usable.join(F.broadcast(chosen), "key").groupBy("key").agg(F.min("html").alias("html")).orderBy("key").collect()
     return train_labeller([r["html"] for r in rows], seed)
 
 
