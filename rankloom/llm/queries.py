@@ -78,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_weak_rules": weak_rules.oracle_sql()}
+    return {"op4_weak_rules": weak_rules.oracle_sql(), "op8_substrings": substrings.oracle_sql()}

@@ -272,3 +272,17 @@ def deduplicate(docs: DataFrame, batches: int = 2, size: int = SIZE, run: int =
     # Equal rows have equal keys: each of their blocks was found once for every row, which the cut takes as one.
     joined = _texts(docs).join(hits, ["k1", "k2"], "left").select("doc_id", "text", "hits")
     return joined.mapInPandas(_results(size), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+
+
+def oracle_sql(size: int = SIZE) -> str:
+    """n_words, n_removed and kept_sha256 over documents in DuckDB SQL, from whole windows."""
+    words = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {words} AS ws FROM documents),
+w AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+windows AS (SELECT r, i, array_to_string(ws[i : i + {size - 1}], ' ') AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - {size - 2})) AS i FROM d WHERE len(ws) >= {size})),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY g) AS n FROM windows) WHERE n > 1),
+gone AS (SELECT DISTINCT r, i + k AS i FROM twice CROSS JOIN (SELECT unnest(range({size})) AS k)),
+kept AS (SELECT w.r, string_agg(word, ' ' ORDER BY w.i) AS t, count(*) AS n FROM w LEFT JOIN gone g ON g.r = w.r AND g.i = w.i WHERE g.r IS NULL GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
