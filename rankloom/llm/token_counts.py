@@ -32,8 +32,8 @@ from rankloom.llm import common, tokens
 
 #: A block ends at this many documents (two bytes hold their numbers) or characters, whichever comes first.
 BLOCK_DOCS, BLOCK_CHARS = 16_384, 24_000_000
-#: Stored input for one bucket, and the salts of frequent pre-tokens.
-BUCKET_BYTES, SALTS = 4_000_000, 64
+#: Stored input for one bucket; frequent pre-tokens get a fourth of the buckets again.
+BUCKET_BYTES = 1_000_000
 #: Blocks whose sums one task holds before it hands them on.
 HELD_BLOCKS = 500
 _ROWS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("packed", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64()))])
@@ -88,7 +88,7 @@ def _block(number: int, ids: list, texts: list[str], cut, buckets: int) -> Itera
     yield pa.record_batch([pa.array(x, f.type) for x, f in zip([[-1 - number], [number], [None], [ids], [[len(t.encode()) for t in texts]]], _ROWS, strict=True)], schema=_ROWS)
     names = [x.encode("utf-8", "surrogatepass") for x in vocabulary]
     place = np.fromiter((zlib.crc32(x) for x in names), np.int64, len(names)) % buckets
-    place[spans * 16 > max(len(texts), 64)] = buckets + number % SALTS
+    place[spans * 16 > max(len(texts), 64)] = buckets + zlib.crc32(number.to_bytes(8, "little")) % max(1, buckets // 4)
     order = np.argsort(place, kind="stable")
     cuts = [0, *(np.flatnonzero(np.diff(place[order])) + 1).tolist(), len(order)]
     for a, b in zip(cuts, cuts[1:], strict=False):
