@@ -212,20 +212,20 @@ def _single(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(x) for x in (*cols, flat, place.astype(np.int32))], names=["fp", "bkey", "n", "window", "place"])
 
 
-def repeated_windows(found: DataFrame) -> DataFrame:
-    """k1, k2, start of every window of candidate blocks that starts elsewhere too, as (first, places); places null: all of the block's."""
+def repeated_windows(found: DataFrame) -> tuple[DataFrame, list[str]]:
+    """k1, k2, first, places, length of blocks with windows that start elsewhere too (places null: all length of them), and the tables this reads."""
     keyed = found.withColumn("bkey", F.xxhash64("windows"))
-    distinct, _ = common.materialize(keyed.groupBy("fp", "bkey", "windows").agg(F.count("*").alias("n")), "blocks")
+    distinct, one = common.materialize(keyed.groupBy("fp", "bkey", "windows").agg(F.count("*").alias("n")), "blocks")
     # Anchors with one block seen once are none of ours (the bitmap lets a few such through).
     several = distinct.groupBy("fp").agg(F.sum("n").alias("all"), F.min("n").alias("least"), F.count("*").alias("kinds")).filter((F.col("kinds") > 1) & (F.col("least") == 1)).select("fp")
     single = distinct.join(several, "fp", "left_semi").select("fp", "bkey", "n", "windows").mapInArrow(_single, "fp long, bkey long, n long, window long, place int")
-    single, _ = common.materialize(single, "windows")
+    single, two = common.materialize(single, "windows")
     twice = single.groupBy("fp", "window").agg(F.sum("n").alias("all")).filter("all > 1").select("fp", "window")
     places = single.filter("n = 1").join(twice, ["fp", "window"], "left_semi").groupBy("fp", "bkey").agg(F.collect_set("place").alias("places"))
     some = keyed.join(places, ["fp", "bkey"]).select("k1", "k2", "first", "places", F.lit(0).cast("long").alias("length"))
     whole = distinct.filter("n > 1").select("fp", "bkey", F.lit(True).alias("all"))
     every = keyed.join(whole, ["fp", "bkey"], "left_semi").select("k1", "k2", "first", F.lit(None).cast("array<int>").alias("places"), (F.length("windows") / 8).cast("long").alias("length"))
-    return some.unionByName(every)
+    return some.unionByName(every), [one, two]
 
 
 def _kept(own: list[bytes], hits, size: int) -> list[bytes]:
@@ -263,15 +263,29 @@ def deduplicate(docs: DataFrame, batches: int = 2, size: int = SIZE, run: int =
     Documents enter the log in that many batches, which it then compacts; windows are judged on all of them.
     """
     spark = docs.sparkSession
-    log = WindowLog(spark, common.new_path(spark, "log"))
+    runs = common.new_path(spark, "log")
+    log = WindowLog(spark, runs)
     for k in range(batches):
         log.append(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k), size, run)
     log.compact()
-    found, _ = common.materialize(candidate_blocks(docs, log.repeated(), size, run, bits), "candidates")
-    hits = repeated_windows(found).groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "places", "length")).alias("hits"))  # bounded by a document's length
-    # Equal rows have equal keys: each of their blocks was found once for every row, which the cut takes as one.
-    joined = _texts(docs).join(hits, ["k1", "k2"], "left").select("doc_id", "text", "hits")
-    return joined.mapInPandas(_results(size), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    found, candidates = common.materialize(candidate_blocks(docs, log.repeated(), size, run, bits), "candidates")
+    blocks_, tables = repeated_windows(found)
+    # A document's hits are bounded by its own length. Equal rows have equal keys, so each finds its blocks more than once.
+    hits, _ = common.materialize(blocks_.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "places", "length")).alias("hits")), "hits")
+    for path in (runs, candidates, *tables):
+        common.delete(spark, path)
+    # Only documents that may have hits are shuffled with their texts; the bitmap of their keys is of fixed size too.
+    sent = spark.sparkContext.broadcast(_bitmap(hits.select(F.col("k1").alias("fp")), bits))
+
+    def near(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield pd.Series(_among(part.to_numpy(np.int64).view(np.uint64), sent.value))
+
+    texts = _texts(docs).withColumn("near", F.pandas_udf(near, "boolean")("k1"))
+    hit = texts.filter("near").join(hits, ["k1", "k2"], "left").select("doc_id", "text", "hits")
+    clean = texts.filter("not near").select("doc_id", "text", F.lit(None).cast(hits.schema["hits"].dataType).alias("hits"))
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+    return clean.mapInPandas(_results(size), schema).unionByName(hit.mapInPandas(_results(size), schema))
 
 
 def oracle_sql(size: int = SIZE) -> str:
