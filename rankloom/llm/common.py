@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import re
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,5 +89,14 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def make_importable(spark: SparkSession) -> None:
+    """Python workers find this package wherever the driver was started; executors elsewhere need it installed or shipped."""
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    root = str(Path(__file__).resolve().parents[2])
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    make_importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
