@@ -2,11 +2,12 @@
 
 For a benchmark item of m words, every window of m words of a document that holds one of the item's shingles (five
 words; shorter items are one shingle) gets a 64-bit SimHash of its shingles. No other window can be similar at all,
-so leaving those out loses nothing. Fingerprints are looked up in eight one-byte blocks: an item and a window within
-``radius`` (23) bits agree to within two bits in at least one block, so indexing each item under all bytes within two
-bits of its own finds every pair in the radius. Pairs within it are verified by weighted shingle similarity: the sum
-of weight times the smaller count over that of the larger, at least 0.8. A shingle's weight falls with the number of
-items that hold it, so that boilerplate shared by many items counts less.
+so leaving those out loses nothing. A document of fewer than m words is one window, whole. Fingerprints are looked up
+in eight one-byte blocks: an item and a window within ``radius`` (23) bits agree to within two bits in at least one
+block, so indexing each item under all bytes within two bits of its own finds every pair in the radius. Pairs within
+it are verified by weighted shingle similarity: the sum of weight times the smaller count over that of the larger, at
+least 0.8. A shingle's weight falls with the number of items that hold it, so that boilerplate shared by many items
+counts less.
 
 Words are runs of letters and digits in lower case. Items without a word match nothing.
 
@@ -140,10 +141,8 @@ class Index:
 
     def _windows(self, k: int, h: np.ndarray, at: np.ndarray, similarity: float, out: dict[int, float]) -> None:
         m, size, ids, counts, prints, tables = self.sizes[k]
-        width = m - size + 1  # shingles of a window
+        width = min(m - size + 1, len(h))  # shingles of a window; a shorter document is one
         last = len(h) - width
-        if last < 0:
-            return
         starts = np.unique((at[:, None] - np.arange(width)).ravel())
         starts = starts[(starts >= 0) & (starts <= last)]
         for part in np.split(starts, range(4096, len(starts), 4096)):

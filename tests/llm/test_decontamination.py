@@ -36,6 +36,27 @@ def brute(pairs, items):
     return out
 
 
+def brute_short(pairs, items):
+    """brute, where a document of fewer words than an item is compared whole."""
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    grams = lambda w, n: [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
+    own = [(i, words(t)) for i, t in items if words(t)]
+    holders = Counter(g for _, w in own for g in set(grams(w, min(5, len(w)))))
+    weight = lambda g: math.log1p(len(own) / holders.get(g, 1))
+    out = []
+    for (doc_id, text), long in zip(pairs, brute(pairs, items), strict=True):
+        w, hit = words(text), {int(i): None for i in long[2].split(",") if i}
+        best = long[3]
+        for i, item in own:
+            one, two = (Counter(grams(x, min(5, len(item)))) for x in (w, item))
+            if len(w) < len(item) and one & two:
+                value = sum(weight(g) * min(one[g], two[g]) for g in one | two) / sum(weight(g) * max(one[g], two[g]) for g in one | two)
+                if value >= 0.8:
+                    hit[i], best = None, max(best, round(value, 6))
+        out.append((doc_id, len(hit), ",".join(map(str, sorted(hit))), best, bool(hit)))
+    return out
+
+
 def corpus(rng):
     fresh = lambda n: rng.choices([f"w{k}" for k in range(500)], k=n)
     items = [(k, " ".join(fresh(n))) for k, n in enumerate([15, 20, 30, 40, 59, 59, 30, 3, 1, 6])]
@@ -83,3 +104,18 @@ def test_blocks_guarantee_the_radius():
         assert any(((a ^ b) >> 8 * k & 255).bit_count() <= dc.RADIUS // 8 for k in range(8))
     h = np.array([1, 2, 3], np.uint64)
     assert dc._fingerprints(dc._signs(h).sum(axis=0)[None])[0] == 3
+
+
+def test_document_shorter_than_the_item(spark):
+    rng = random.Random(9)
+    item = rng.choices([f"w{k}" for k in range(500)], k=40)
+    other = rng.choices([f"v{k}" for k in range(500)], k=40)
+    items = [(1, " ".join(item)), (2, " ".join(other)), (3, " ".join(item[:6])), (4, "a b c")]
+    pairs = [(k, " ".join(item[:n])) for k, n in enumerate(range(41))] + [(100, " ".join(item[2:])), (101, " ".join([*item[:20], *item[22:]])), (102, " ".join([*other[:30], "new", "words"])), (103, "a b"), (104, None)]
+    want = brute_short(pairs, items)
+    assert {r[0] for r in want if r[2] == "1,3"} >= {36, 38, 40} and {r[0]: r[2] for r in want}[100] == "1"
+    benchmark = spark.createDataFrame(items, ITEMS)
+    got = dc.scan(documents(spark, pairs), benchmark)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    kept = dc.clean(documents(spark, pairs), benchmark)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in want if not r[4])
