@@ -13,7 +13,9 @@ Words are runs of letters and digits in lower case. Items without a word match n
 
 The index of one pass is broadcast. Its size is checked: items are dealt to as many passes as keep each under
 ``most_chars`` characters of item text (default 8 million), and one item is never larger than that unless its own
-text is.
+text is. Weights are those of the whole benchmark in every pass, counted by one aggregation, so that the number of
+passes changes no result. Of a shingle that one item or none holds the weight is the same, so a pass needs the others
+alone, whichever items hold them, as they may stand in a window too: 16 bytes each, two words of the benchmark at least.
 
 Nulls: a null text is empty and clean; null doc_ids and repeated rows are kept, one result each; null items are
 left out. An empty benchmark makes every document clean; an empty table gives no rows.
@@ -79,10 +81,28 @@ def _fingerprints(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1, bitorder="little").reshape(-1).view("<u8")
 
 
+class Weights:
+    """Weights of shingles in a benchmark of n items, from the shingles that two items or more hold and how many do."""
+
+    def __init__(self, n: int, held: np.ndarray, counts: np.ndarray):
+        order = np.argsort(held)
+        known, which = np.unique(counts[order], return_inverse=True)
+        self.held = held[order]
+        self.weights = np.array([math.log1p(n / k) for k in known.tolist()])[which]
+        self.rare = math.log1p(n)  # of a shingle that one item or none holds
+
+    def of(self, hashes: list[int]) -> list[float]:
+        if not len(self.held):
+            return [self.rare] * len(hashes)
+        own = np.array(hashes, np.uint64)
+        at = np.minimum(np.searchsorted(self.held, own), len(self.held) - 1)
+        return np.where(self.held[at] == own, self.weights[at], self.rare).tolist()
+
+
 class Index:
     """Items by size: shingles, fingerprints and the eight block tables."""
 
-    def __init__(self, items: list[tuple[int, str]], radius: int = RADIUS):
+    def __init__(self, items: list[tuple[int, str]], radius: int = RADIUS, whole: Weights | None = None):
         self.radius = radius
         sizes: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = defaultdict(list)
         holders: Counter = Counter()
@@ -92,10 +112,12 @@ class Index:
                 size = min(SHINGLE, len(own))
                 found = shingles(own, size)
                 sizes[len(own), size].append((item_id, found))
-                holders.update(set(found.tolist()))
-        self.n = sum(map(len, sizes.values()))
-        self.weight = {h: math.log1p(self.n / k) for h, k in holders.items()}
-        self.rare = math.log1p(self.n)  # of a shingle that no item holds
+                if whole is None:
+                    holders.update(set(found.tolist()))
+        if whole is None:
+            held = {h: k for h, k in holders.items() if k > 1}
+            whole = Weights(sum(map(len, sizes.values())), np.fromiter(held, np.uint64, len(held)), np.fromiter(held.values(), np.int64, len(held)))
+        self.weights = whole
         close = np.array([[(a ^ b).bit_count() <= radius // 8 for b in range(256)] for a in range(256)])
         self.sizes = []
         by_shingle: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
@@ -116,8 +138,8 @@ class Index:
 
     def similarity(self, one: Counter, two: Counter) -> float:
         least = most = 0.0
-        for h in one.keys() | two.keys():
-            w = self.weight.get(h, self.rare)
+        both = list(one.keys() | two.keys())
+        for h, w in zip(both, self.weights.of(both), strict=True):
             a, b = one[h], two[h]
             least += w * min(a, b)
             most += w * max(a, b)
@@ -173,9 +195,25 @@ def indexes(benchmark: DataFrame, most_chars: int = MOST_CHARS) -> Iterator[Inde
     items = benchmark.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     passes = max(1, -(-2 * chars // most_chars)) if chars > most_chars else 1
+    whole = weights(items) if passes > 1 else None
     for k in range(passes):
         own = items if passes == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
-        yield Index(sorted((r["item_id"], r["text"]) for r in own.collect()))
+        yield Index(sorted((r["item_id"], r["text"]) for r in own.collect()), whole=whole)
+
+
+def weights(items: DataFrame) -> Weights:
+    """Weights over all items, counted where the items are; only shingles of two items or more reach the driver."""
+
+    def own(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for text in part["text"]:  # item by item: a batch of long texts needs no more room than one
+                found = words(text)
+                if found:
+                    yield pd.DataFrame({"h": np.unique(shingles(found, min(SHINGLE, len(found)))).view(np.int64)})
+
+    n = items.filter(F.pandas_udf(lambda t: t.map(lambda x: bool(words(x))).astype(bool), "boolean")("text")).count()
+    held = items.mapInPandas(own, "h long").groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").toArrow()
+    return Weights(n, held.column("h").to_numpy().view(np.uint64), held.column("k").to_numpy())
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, most_chars: int = MOST_CHARS) -> DataFrame:
@@ -199,7 +237,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
         one = rows.mapInPandas(look, f"row long, {names}")
         found = one if found is None else found.unionByName(one)
     if len(all_passes) > 1:
-        found = found.groupBy("row", "doc_id").agg(F.flatten(F.collect_list("item_ids")).alias("item_ids"), F.flatten(F.collect_list("similarities")).alias("similarities"))
+        found = found.groupBy("row", "doc_id").agg(F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.flatten(F.collect_list("similarities")).alias("similarities"))
     return found.select(
         "doc_id",
         F.size("item_ids").cast("long").alias("n_items"),

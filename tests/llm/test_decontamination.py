@@ -119,3 +119,34 @@ def test_document_shorter_than_the_item(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
     kept = dc.clean(documents(spark, pairs), benchmark)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in want if not r[4])
+
+
+@pytest.mark.parametrize("most_chars", [8_000_000, 2_000])
+def test_passes_change_no_result(spark, most_chars):
+    """Texts near the threshold and shingles that many items share."""
+    rng = random.Random(11)
+    fresh = lambda n: rng.choices([f"w{k}" for k in range(3000)], k=n)
+    shared = fresh(12)
+    items = [(k, " ".join([*shared, *fresh(18)]) if k < 30 else " ".join(fresh(30))) for k in range(40)]
+    texts = []
+    for _, item in items * 6:
+        p = item.split()
+        k = rng.randint(0, 7)
+        p = p[: len(p) - k] + rng.choice([fresh(k), shared[:k]])  # a window may hold what only items of other passes share
+        texts.append(" ".join([*fresh(rng.randint(0, 5)), *p]))
+    pairs = list(enumerate(texts))
+    want = sorted(brute_short(pairs, items))
+    assert 20 < sum(r[4] for r in want) < len(want) - 20
+    benchmark = spark.createDataFrame(items, ITEMS).repartition(3)
+    assert sorted(map(tuple, dc.scan(documents(spark, pairs), benchmark, most_chars=most_chars).collect())) == want
+    kept = dc.clean(documents(spark, pairs), benchmark, most_chars=most_chars)
+    assert sorted(r.doc_id for r in kept.collect()) == [r[0] for r in want if not r[4]]
+
+
+def test_an_id_with_two_texts_counts_once_in_any_number_of_passes(spark):
+    rng = random.Random(13)
+    one, two = (" ".join(rng.choices([f"w{k}" for k in range(500)], k=30)) for _ in range(2))
+    benchmark = spark.createDataFrame([(5, one), (5, two), *((k, f"other text {k} of its own words") for k in range(10, 30))], ITEMS)
+    for most_chars in (8_000_000, 60):
+        rows = dc.scan(documents(spark, [(1, one + " and " + two)]), benchmark, most_chars=most_chars).collect()
+        assert [tuple(r) for r in rows] == [(1, 1, "5", 1.0, True)]
