@@ -24,7 +24,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of fingerprints within three bits, as in op10; the README says which near copies that leaves."""
     return simhash.deduplicate(docs)
 
 
