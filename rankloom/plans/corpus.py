@@ -120,6 +120,14 @@ def prefix_derivative(spark, d):
     return overlap.prefix_derivatives(R.documents(spark, d), heads)
 
 
+@query("prefix_derivative_whole")
+def prefix_derivative_whole(spark, d):
+    """Derivatives of every distinct text, compared whole; a text's reference is its smallest doc_id, which is not its own derivative."""
+    docs = R.documents(spark, d)
+    refs = docs.groupBy(text.normalise(F.col("text")).alias("text")).agg(F.min("doc_id").alias("ref_id"))
+    return overlap.prefix_derivatives(docs, refs).filter("doc_id <> ref_id")
+
+
 @query("probe_overlap", f"WITH p AS (SELECT item_id AS ref_id, substr({_norm('text')}, 11, 60) AS p FROM benchmark) SELECT ref_id, min(doc_id) AS doc_id FROM p JOIN documents ON length(p) >= 60 AND contains({_norm('text')}, p) GROUP BY 1")
 def probe_overlap(spark, d):
     return overlap.probes(_refs(spark, d), R.documents(spark, d), 11, 60)
@@ -172,7 +180,7 @@ def span_offsets(spark, d):
     off = F.when(F.col("doc_id") % 7 == 0, 1).otherwise(0)
     docs = R.table(spark, d, "documents").filter("length(text) >= 40")
     span = F.struct(F.col("lang").alias("label"), (off + 5).alias("start"), (off + 14).alias("end"), F.substring("text", 6, 10).alias("text"))
-    return profile.span_problems(docs.select(F.substring("text", 1, 1000).alias("content"), F.array(span).alias("spans")), "content", "spans")
+    return profile.span_problems(docs.select(F.col("text").alias("content"), F.array(span).alias("spans")), "content", "spans")
 
 
 @query("skill_freq", "WITH x AS (SELECT unnest([event_type, 'k' || user_id % 5]) AS item FROM events) SELECT item, count(*) AS n FROM x GROUP BY 1 ORDER BY n DESC, item LIMIT 8")
