@@ -86,10 +86,12 @@ def batch_summary(spark, d):
 _SCORED = "scored AS (SELECT s_suppkey AS query_id, c_custkey AS doc_id, round(('0x' || substr(sha256('3|' || s_suppkey || '|' || c_custkey), 1, 8))::UBIGINT / 4294967296.0::DOUBLE, 6) AS score FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE s_suppkey <= 10)"
 
 
-def _scored(spark, d) -> DataFrame:
+def _scored(spark, d, whole: bool = False) -> DataFrame:
     from rankloom.operators.scoring import random_scores
 
-    q, c = R.cell_queries(spark, d).filter("query_id <= 10"), R.cell_documents(spark, d)
+    q, c = R.cell_queries(spark, d), R.cell_documents(spark, d)
+    if not whole:
+        q = q.filter("query_id <= 10")
     return random_scores(q.select("query_id", "keyword").join(c.select("doc_id", "keyword"), "keyword"), 3)
 
 
@@ -103,6 +105,12 @@ def banded_pick(spark, d):
     return sampling.banded_pick(_scored(spark, d), 5, R.SEED)
 
 
+@query("banded_pick_whole")
+def banded_pick_whole(spark, d):
+    """Banded picks of every query; banded_pick has the first ten."""
+    return sampling.banded_pick(_scored(spark, d, whole=True), 5, R.SEED)
+
+
 @query("stratified_recheck", f"WITH {R.SQL_PAIRS} SELECT query_id, doc_id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sha256('0|quota|' || query_id || '__' || doc_id), query_id || '__' || doc_id) AS r FROM pairs) WHERE r <= CASE label WHEN 'No Fit' THEN 40 ELSE 30 END")
 def stratified_recheck(spark, d):
     p = R.pairs(spark, d).withColumn("pair_id", F.concat_ws("__", "query_id", "doc_id"))

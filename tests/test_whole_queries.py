@@ -1,11 +1,13 @@
 """Queries over all rows, without a twin, against brute force."""
 
+import hashlib
 import random
+from collections import defaultdict
 
 from pyspark.sql import functions as F
 
 from rankloom.operators import profile
-from rankloom.plans import catalog, corpus  # noqa: F401
+from rankloom.plans import annotate, catalog, corpus  # noqa: F401
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -33,3 +35,31 @@ def test_span_offsets_hands_on_whole_texts(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(profile, "span_problems", lambda df, content, spans: seen.append(df.agg(F.max(F.length(content))).first()[0]))
     catalog.queries()["span_offsets"](spark, str(tmp_path))
     assert seen == [5000]
+
+
+def test_banded_picks_of_all_queries(spark, tmp_path):
+    nation = {k: k % 3 for k in range(1, 26)}
+    customers = {k: k % 4 for k in range(1, 41)}
+    spark.createDataFrame([(k, n, 1.0) for k, n in nation.items()], "s_suppkey long, s_nationkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(k, n, 1.0) for k, n in customers.items()], "c_custkey long, c_nationkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    draw = lambda seed, q, c: hashlib.sha256(f"{seed}|{q}|{c}".encode()).hexdigest()
+    want = []
+    for q, n in nation.items():
+        scored = sorted(((round(int(draw(3, q, c)[:8], 16) / 2**32, 6), c) for c, m in customers.items() if m == n), key=lambda x: (-x[0], x[1]))
+        each, more = divmod(len(scored), 3)
+        ends, bands = (each + (more > 0), 2 * each + more), defaultdict(list)
+        for k, (s, c) in enumerate(scored):
+            bands["high" if k < ends[0] else "mid" if k < ends[1] else "low"].append((draw(0, q, c), c, s))
+        for b in bands.values():
+            b.sort()
+        slots = {}
+        for slot, band in enumerate(("high", "mid", "low", "high", "mid")):
+            if bands[band]:
+                slots[slot] = (*bands[band].pop(0), band)
+        rest = sorted((*x, band) for band, b in bands.items() for x in b)
+        for slot in range(5):
+            if slot not in slots and rest:
+                slots[slot] = rest.pop(0)
+        want += [(q, c, s, band, slot) for slot, (_, c, s, band) in slots.items()]
+    got = catalog.queries()["banded_pick_whole"](spark, str(tmp_path)).select("query_id", "doc_id", "score", "band", "slot")
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len({w[0] for w in want}) == 25
