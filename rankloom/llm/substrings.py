@@ -4,8 +4,9 @@ A window is ``size`` consecutive words. Each window is filed under its anchor, t
 word runs: equal windows have equal anchors, and neighbouring windows mostly share one, so an index of anchors is a
 dozen times smaller than one of windows and misses none.
 
-The index is a log of immutable runs (fp, n), each sorted by fp: a batch of documents becomes one run, is
-merge-joined with the earlier ones, and runs are compacted into one when there are many. Anchors seen more than once
+The index is a log of immutable runs (fp, n), each sorted by fp: a batch of documents becomes one run, and runs are
+compacted into one when there are many. ``seen_before`` merge-joins the newest run with the earlier ones;
+``deduplicate`` does not use it, but takes the anchors of the compacted log and deletes the log. Anchors seen more than once
 are candidates only. They are verified on whole windows: documents give a block for each candidate anchor (the
 consecutive windows that share it, as 64-bit hashes), blocks are counted as a whole first, so that a passage found
 in any number of copies is one row, and the windows of the distinct blocks are then counted one by one, told apart
