@@ -2,64 +2,34 @@
 
 from __future__ import annotations
 
-import atexit
 import os
 import re
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankloom.shared import delete, materialize, new_path, path_and_files  # noqa: F401  (for the operators)
+
 #: Words are runs of anything but the six ASCII separators.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SEPARATORS = " \t\n\x0b\x0c\r"
 
-_written: list[tuple[object, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        known = spark.sparkContext.getCheckpointDir()
-        if known:
-            return known.rstrip("/")
-        found = "file://" + tempfile.mkdtemp(prefix="rankloom-")
-        spark.sparkContext.setCheckpointDir(found)
-        return spark.sparkContext.getCheckpointDir().rstrip("/")
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/rankloom/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a table that no later step reads."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write df to the shared folder as Parquet and read it back: lineage is cut and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+#: Rows in one Arrow batch between the JVM and a Python worker, and its bytes: whole texts are long.
+BATCH_ROWS, BATCH_BYTES = 1000, 8_000_000
 
 
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            delete(spark, path)
-        except Exception:  # the session has gone, and its folder is its owner's to clear
-            return
+def prepare(spark: SparkSession) -> None:
+    """What every operator needs of the session: workers that find this package, and Arrow batches of a bounded size (the session's own, if already smaller)."""
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    root = str(Path(__file__).resolve().parents[2])
+    if root not in known.split(os.pathsep):  # executors on other machines need the package installed or shipped
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known)))
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:  # a smaller one stays
+            spark.conf.set(key, str(most))
 
 
 def partitions_for(df: DataFrame, bytes_each: int) -> int:
@@ -89,14 +59,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def make_importable(spark: SparkSession) -> None:
-    """Python workers find this package wherever the driver was started; executors elsewhere need it installed or shipped."""
-    known = spark.sparkContext.environment.get("PYTHONPATH", "")
-    root = str(Path(__file__).resolve().parents[2])
-    if root not in known.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known)))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    make_importable(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

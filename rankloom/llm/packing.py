@@ -7,7 +7,9 @@ bins are final too, and the documents of their open bins are exchanged: dealt an
 and packed again, until no gap is left, one partition holds all open items, or ``max_rounds`` have run.
 
 Nulls: a null text is empty, so its piece is the end id alone; null doc_ids are kept. Repeated rows are packed as
-often as they occur. An empty table gives no rows. Other columns of the input are not looked at.
+often as they occur. Items of one length are packed in order of a number that says where they stood in the input. A
+very long text gives as many full pieces as it fills. An empty table gives no rows. Other columns of the input are not
+looked at.
 """
 
 from __future__ import annotations
@@ -39,6 +41,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = tokens.END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece, and a number of its own for each (uid)."""
+    common.prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
     last = np.array([end_id], "<u4").tobytes()
 

@@ -10,7 +10,9 @@ their token sets, not their texts, to the driver: about 15 MB. Everything else c
 
 Nulls: a label without doc_id or without quality is not used; a null toxic counts as 0. A null text is empty and is
 scored by the thresholds alone. Without any usable label no probability is given and every document is kept.
-Repeated rows and null doc_ids give one result each; an empty table gives no rows.
+Repeated rows and null doc_ids give one result each; ratings of one document that differ count as the lowest, and of
+texts with one id the one with the smallest token set in byte order is fitted. A text of any length is one token set,
+scored whole. Extra columns are not looked at by ``score`` and play no part in ``kept``. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -131,6 +133,7 @@ def graded(labels: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) -> Model | None:
     """Fit on at most most_labels rated documents; None without any."""
+    common.prepare(docs.sparkSession)
     sample = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels)
 
     def extract(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,6 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) ->
 
 def score(docs: DataFrame, model: Model | None, least_tail: float = 0.5) -> DataFrame:
     """doc_id, expected_grade, p_top (the tail probability of the top grade), kept, of every document."""
+    common.prepare(docs.sparkSession)
     if model is None:
         none = F.lit(None).cast("double")
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), none.alias("expected_grade"), none.alias("p_top"), F.lit(True).alias("kept"))
@@ -164,6 +168,7 @@ def score(docs: DataFrame, model: Model | None, least_tail: float = 0.5) -> Data
 
 def kept(model: Model | None, docs: DataFrame, least_tail: float = 0.5) -> Column:
     """Whether the classifier keeps a row, as a column over text."""
+    common.prepare(docs.sparkSession)
     if model is None:
         return F.lit(True)
     sent = docs.sparkSession.sparkContext.broadcast(model)
