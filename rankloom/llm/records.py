@@ -12,11 +12,14 @@ All numbers are little-endian. A masked check is the CRC rotated right by 15 bit
 check stored among other data does not look like the check of that data. An index shard holds 32-byte entries
 (shard u64, offset u64, doc_id i64, has_id u32, n_tokens u32), each followed by the same end byte.
 
-Both are written by Spark's own committed writer, so a lost executor or a repeated task leaves no half shard, and
-any file system that Spark reaches will do.
+One pass writes both, to ``kind=data`` and ``kind=index``, through Spark's own committed writer, so a lost executor
+or a repeated task leaves no half shard, and any file system that Spark reaches will do. A task that passes
+``roll_bytes`` goes on in another file, so no shard comes near the 2 GB that a reader holds, whatever the lengths.
 
 Nulls: a null text is empty (its record holds the end id alone); null doc_ids come first and are marked in the
-frame. Repeated doc_ids keep one record each, ordered by text. An empty table gives no shards and no rows.
+frame. Repeated doc_ids keep one record each, ordered by the first 64 characters of their text and then by place in
+the input, which also splits any number of equal or null ids over shards. Very long texts make one long frame. An
+empty table gives no shards and no rows. Other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +42,12 @@ _LENGTH, _CHECK, _HEAD, _ENTRY = struct.Struct("<Q"), struct.Struct("<I"), struc
 END = b"\n"
 #: Bytes of stored input for one shard.
 SHARD_BYTES = 16_000_000
+#: Bytes of one data file, give or take a frame.
+ROLL_BYTES = 256_000_000
+#: A shard's number: the task's, then which of its files.
+_ROLL_BITS = 20
+#: Bytes of frames that a task hands on at once.
+_HANDED = 1_000_000
 
 
 class BrokenRecord(ValueError):
@@ -88,44 +99,63 @@ def parse(data: bytes) -> Iterator[tuple[int, int | None, bytes]]:
         at = following
 
 
-def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = tokens.END_ID, shard_bytes: int = SHARD_BYTES) -> None:
-    """Encode docs (doc_id, text) and write data shards under path/data and the index under path/index."""
+def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = tokens.END_ID, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> None:
+    """Encode docs (doc_id, text) and write data shards under path/kind=data and the index under path/kind=index."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
-    shards = common.partitions_for(docs, shard_bytes)
-    rows = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    common.prepare(spark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"), F.monotonically_increasing_id().alias("place"))
+    order = (F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 64), F.col("place"))
+    rows = rows.repartitionByRange(common.partitions_for(docs, shard_bytes), *order).sortWithinPartitions(*order)
     last = np.array([end_id], "<u4").tobytes()
 
-    def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(tokenizer)
         width = 2 if encoder.tokenizer.get_vocab_size() <= 65536 and end_id < 65536 else 4
-        for part in parts:
-            for at in range(0, len(part), 500):  # a few frames at a time, whatever the size of a batch
-                own = part.iloc[at : at + 500]
-                ids = [None if pd.isna(i) else int(i) for i in own["doc_id"]]
-                yield pd.DataFrame({"frame": [frame(i, encoder.ids(t) + last, width) for i, t in zip(ids, own["text"], strict=True)]})
-
-    rows.mapInPandas(encode, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/data")
-    write_index(spark, path)
-
-
-def _shards(spark: SparkSession, path: str) -> DataFrame:
-    """(shard, content) of every data shard; the shard is the number of the task that wrote it, in doc_id order."""
-    return (
-        spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/data")
-        .select(F.regexp_extract("path", r"part-(\d+)", 1).cast("long").alias("shard"), "content")
-    )
+        shard, roll, offset, held = TaskContext.get().partitionId() << _ROLL_BITS, 0, 0, 0
+        data, index = [], []
 
+        def handed() -> pa.RecordBatch:
+            kinds, n = ["data"] * len(data) + ["index"] * len(index), len(data) + len(index)
+            return pa.record_batch([pa.array(data + index, pa.binary()), pa.array(kinds), pa.array([roll] * n, pa.int32())], names=["value", "kind", "roll"])
 
-def write_index(spark: SparkSession, path: str) -> None:
-    """Scan the data shards, checking every frame, and write where each starts."""
-
-    def entries(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for shard, content in zip(part["shard"], part["content"], strict=True):
-                yield pd.DataFrame({"entry": [entry(shard, at, doc_id, len(ids) // 4) for at, doc_id, ids in parse(content)]})
-
-    _shards(spark, path).mapInPandas(entries, "entry binary").select(F.col("entry").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/index")
+            for i, text in zip(part.column("doc_id").to_pylist(), part.column("text"), strict=True):
+                ids = encoder.ids(text.as_py()) + last
+                data.append(frame(i, ids, width))
+                index.append(entry(shard + roll, offset, i, len(ids) // 4))
+                offset, held = offset + len(data[-1]) + 1, held + len(data[-1])
+                if held >= _HANDED or offset >= roll_bytes:
+                    yield handed()
+                    data, index, held = [], [], 0
+                    if offset >= roll_bytes:
+                        roll, offset = roll + 1, 0
+        if data:
+            yield handed()
+
+    # The writer keeps one file open for each kind and roll of a task, so rows need no sorting by kind; it passes bytes on as they are.
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1000")
+    try:
+        framed = rows.select("doc_id", "text").mapInArrow(encode, "value binary, kind string, roll int")
+        framed.select(F.col("value").cast("string").alias("value"), "kind", "roll").write.partitionBy("kind", "roll").option("lineSep", "\n").text(path)
+    finally:
+        spark.conf.set(key, before)
+
+
+def _files(spark: SparkSession, path: str, kind: str) -> DataFrame | None:
+    """path and content of all files of a kind; None for an empty table, which has no files."""
+    target, files = common.path_and_files(spark, f"{path}/kind={kind}")
+    if not files.exists(target):
+        return None
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(f"{path}/kind={kind}")
+
+
+def _shards(spark: SparkSession, path: str) -> DataFrame | None:
+    """(shard, content) of every data shard; shards rise in doc_id order."""
+    files = _files(spark, path, "data")
+    task, roll = (F.regexp_extract("path", x, 1).cast("long") for x in (r"part-(\d+)", r"roll=(\d+)/"))
+    return files and files.select(F.shiftleft(task, _ROLL_BITS).bitwiseOR(roll).alias("shard"), "content")
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -142,8 +172,8 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
                 ids[found["has_id"] == 0] = pd.NA
                 yield pd.DataFrame({"shard": found["shard"].astype("int64"), "offset": found["offset"].astype("int64"), "doc_id": ids, "n_tokens": found["n_tokens"].astype("int64")})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/index").select("content")
-    return files.mapInPandas(unpack, "shard long, offset long, doc_id long, n_tokens long")
+    schema, files = "shard long, offset long, doc_id long, n_tokens long", _files(spark, path, "index")
+    return spark.createDataFrame([], schema) if files is None else files.select("content").mapInPandas(unpack, schema)
 
 
 def read_records(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
@@ -171,7 +201,8 @@ def read_records(spark: SparkSession, path: str, with_ids: bool = True) -> DataF
                 if rows:
                     yield _frame(rows)
 
-    return _shards(spark, path).mapInPandas(scan, "shard long, offset long, doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    schema, shards = "shard long, offset long, doc_id long, start long, n_tokens long, ids_crc32 long, ids binary", _shards(spark, path)
+    return spark.createDataFrame([], schema) if shards is None else shards.mapInPandas(scan, schema)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -194,5 +225,7 @@ def read_shuffled(spark: SparkSession, path: str, seed: int) -> DataFrame:
                 got = [(p["draw"], *parse_at(view, p["offset"])[:2]) for p in picks]
                 yield pd.DataFrame({"draw": [g[0] for g in got], "doc_id": pd.array([g[1] for g in got], dtype="Int64"), "ids": [g[2] for g in got]})
 
-    joined = _shards(spark, path).join(wanted, "shard").select("content", "wanted")
-    return joined.mapInPandas(fetch, "draw long, doc_id long, ids binary").orderBy("draw")
+    schema, shards = "draw long, doc_id long, ids binary", _shards(spark, path)
+    if shards is None:
+        return spark.createDataFrame([], schema)
+    return shards.join(wanted, "shard").select("content", "wanted").mapInPandas(fetch, schema).orderBy("draw")

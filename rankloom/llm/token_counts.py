@@ -6,12 +6,13 @@ pre-tokens, counts each distinct one once with the tokenizer's own library, join
 adds them up by block and document. Pre-tokens that over a sixteenth of a block's documents hold would make a few
 buckets large, so they go to buckets of their own, salted by block.
 
-A pre-token is a run of separators with the text up to the next run: the finest cut that never changes the
-library's result and needs no knowledge of its letter classes. Texts that must not be cut (special strings, rare
-white space, or a tokenizer file that is not byte-level) are their own pre-token.
+A pre-token is a run of white space, as the library knows it, with the text up to the next run, or a special string:
+a cut that never changes the library's result and needs no knowledge of its letter classes. Files that are not
+byte-level (word pieces, sentence pieces) get each text as its own pre-token, as their normalisers see across cuts.
 
 Nulls: a null text is empty, with 0 bytes and 0 tokens; null doc_ids and repeated rows are kept, one result each.
-An empty table gives no rows. Only doc_id and text are read.
+An empty table gives no rows. Only doc_id and text are read, so other columns may have any name. A very long text is
+a block of its own; a very long pre-token is one row of its bucket.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ BLOCK_DOCS, BLOCK_CHARS = 16_384, 24_000_000
 BUCKET_BYTES = 1_000_000
 #: Blocks whose sums one task holds before it hands them on.
 HELD_BLOCKS = 500
+#: Distinct pre-tokens whose counts one task remembers; in a larger bucket some are counted again.
+MOST_PIECES = 2_000_000
 _ROWS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("packed", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64()))])
 _SUMS = pa.schema([("block", pa.int64()), ("sums", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64()))])
 
@@ -44,8 +47,7 @@ def _pieces_of(path: str):
     """How this file's texts are cut: a function from text to pre-tokens."""
     if path.endswith(".model"):
         return lambda text: [text] if text else []
-    encoder = tokens.encoder(path)
-    return lambda text: [] if not text else [text] if encoder.whole(text) else encoder.pieces(text)
+    return tokens.encoder(path).pieces
 
 
 def counter(path: str):
@@ -131,7 +133,9 @@ def _join(tokenizer: str):
 
         def handed():
             for b, sums in held.items():
-                yield pa.record_batch([pa.array(x, f.type) for x, f in zip([[b], [sums.astype("<i8").tobytes()], [None], [None]], _SUMS, strict=True)], schema=_SUMS)
+                at = np.flatnonzero(sums)  # the block's documents that have pre-tokens of this task's buckets
+                packed = at.astype("<u2").tobytes() + sums[at].astype("<i8").tobytes()
+                yield pa.record_batch([pa.array(x, f.type) for x, f in zip([[b], [packed], [None], [None]], _SUMS, strict=True)], schema=_SUMS)
             held.clear()
 
         for part in parts:
@@ -143,6 +147,8 @@ def _join(tokenizer: str):
                 if bucket != at:
                     pieces, at = {}, bucket
                 names, spans, docs, times = unpack(part.column("packed")[k].as_py())
+                if len(pieces) > MOST_PIECES:
+                    pieces = {}
                 fresh = [x for x in names if x not in pieces]
                 pieces.update(zip(fresh, counted([x.decode("utf-8", "surrogatepass") for x in fresh]), strict=True))
                 own = np.fromiter(map(pieces.__getitem__, names), np.int64, len(names))
@@ -165,14 +171,15 @@ def _merge(part: pd.DataFrame) -> pd.DataFrame:
     header = part[part["doc_ids"].notna()].iloc[0]
     total = np.zeros(len(header["doc_ids"]), np.int64)
     for sums in part["sums"].dropna():
-        own = np.frombuffer(sums, "<i8")
-        total[: len(own)] += own
+        n = len(sums) // 10
+        total[np.frombuffer(sums, "<u2", n)] += np.frombuffer(sums, "<i8", n, 2 * n)
     ids = pd.array([None if pd.isna(i) else int(i) for i in header["doc_ids"]], dtype="Int64")
     return pd.DataFrame({"doc_id": ids, "n_bytes": np.array(header["n_bytes"], np.int64), "n_tokens": total})
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of every document."""
+    common.prepare(docs.sparkSession)
     buckets = min(max(common.partitions_for(docs, BUCKET_BYTES), 64), 65_536)
     dealt = occurrences(docs, tokenizer, buckets).repartition(common.shuffle_partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
     sums = dealt.mapInArrow(_join(tokenizer), "block long, sums binary, doc_ids array<long>, n_bytes array<long>")

@@ -1,8 +1,9 @@
 """Exact token ids of whole texts by the tokenizers library, with a bounded memo of short pieces.
 
-The byte-level pre-tokenizer never merges across a run of separators that follows other text, so a text
-whose only white space is space and newline is cut before each such run and every piece is encoded by the
-library once per worker and memo. All other texts go to the library whole.
+The byte-level pre-tokenizer never merges across a run of white space that follows other text, nor across a special
+string, so a text is cut before each such run and around each special string, and every piece is encoded by the
+library once per worker and memo. Texts of Latin letters whose only white space is space and newline are cut into the
+pre-tokens themselves, of which there are fewer kinds. Files of another kind get texts whole.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from array import array
 
 END_ID = 2
 assert sys.byteorder == "little" and array("I").itemsize == 4
-_PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-#: Any white space other than space and newline, as Python sees it: more than the library's own set.
-_ODD_SPACE = re.compile(r"[^\S \n]")
-#: Pieces kept in one worker's memo (about 100 MB); frequent pieces come early, later ones are encoded each time.
-MEMO_PIECES = 600_000
+#: White space as the library's pattern has it (Unicode's property; Python's own class has four more).
+_SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_PIECE = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+#: Pieces in each of the memo's two generations (together about 100 MB in a worker).
+MEMO_PIECES = 250_000
 #: Longer pieces are encoded but not remembered.
 MEMO_CHARS = 64
 
@@ -44,8 +45,8 @@ def is_byte_level(path: str) -> bool:
     return t.normalizer is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
 
 
-#: The pre-tokenizer's pattern for pieces of Latin text, where letters and digits are the same in every Unicode version.
-_LATIN = re.compile(r"[\x20\n!-\u024F]+")
+#: Texts and pieces of Latin letters, which are the same in every Unicode version, and the pre-tokenizer's pattern for them.
+_LATIN = re.compile(r"[\x20\n!-~\u00A1-\u024F]+")
 _PRE_TOKEN = re.compile(
     r"'(?:s|t|re|ve|m|ll|d)"
     r"| ?[A-Za-z\u00AA\u00B5\u00BA\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+"
@@ -63,54 +64,68 @@ def _byte_letters() -> dict[int, int]:
 
 
 _BYTE_LETTERS = _byte_letters()
+SHOWN_SPACE = chr(_BYTE_LETTERS[0x20])
 
 
 class _Memo(dict):
-    """Piece to ids; a missing piece is encoded by the library and kept while there is room."""
+    """Piece to ids; a missing piece comes from the generation before or from the library.
 
-    def __init__(self, tokenizer, room: int):
+    When this generation is full it becomes the one before, so frequent pieces stay and rare ones go.
+    """
+
+    def __init__(self, tokenizer, room: int, special: list[str]):
         super().__init__()
-        self.tokenizer, self.model, self.room = tokenizer, tokenizer.model, room
+        self.tokenizer, self.model, self.room, self.before, self.special = tokenizer, tokenizer.model, room, {}, frozenset(special)
 
     def __missing__(self, piece: str) -> bytes:
-        if len(piece) <= MEMO_CHARS and _LATIN.fullmatch(piece):
-            parts = _PRE_TOKEN.findall(piece)
-            if len(parts) > 1:  # its words may be known from elsewhere
-                ids = b"".join(map(self.__getitem__, parts))
-                if len(self) < self.room:
-                    self[piece] = ids
-                return ids
-            found = array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_BYTE_LETTERS))])
-        else:
-            found = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids)
-        ids = found.tobytes()
-        if len(piece) <= MEMO_CHARS and len(self) < self.room:
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = self.encoded(piece)
+        if len(piece) <= MEMO_CHARS and self.room:
+            if len(self) >= self.room:
+                self.before = dict(self)
+                self.clear()
             self[piece] = ids
         return ids
 
+    def encoded(self, piece: str) -> bytes:
+        if len(piece) > MEMO_CHARS or piece in self.special or not _LATIN.fullmatch(piece):
+            return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        parts = _PRE_TOKEN.findall(piece)
+        if len(parts) > 1:  # its words may be known from elsewhere
+            return b"".join(map(self.__getitem__, parts))
+        shown = piece.replace(" ", SHOWN_SPACE) if piece.isascii() and "\n" not in piece else piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
 
 class Encoder:
     """ids(text) as little-endian unsigned 32-bit bytes, equal to the library's encode(text, add_special_tokens=False)."""
 
     def __init__(self, path: str, memo_pieces: int = MEMO_PIECES):
         self.tokenizer = load(path)
-        self.by_piece = is_byte_level(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo = _Memo(self.tokenizer, memo_pieces)
-
-    def whole(self, text: str) -> bool:
-        """Whether the library must see the text uncut."""
-        return not self.by_piece or _ODD_SPACE.search(text) is not None or any(s in text for s in self.special)
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        # A special string that takes white space or whole words with it is left to the library, text and all.
+        self.by_piece = is_byte_level(path) and not any(t.lstrip or t.rstrip or t.single_word for t in added)
+        self.special = [t.content for t in added]
+        self.around = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+        self.memo = _Memo(self.tokenizer, memo_pieces, self.special)
 
     def pieces(self, text: str) -> list[str]:
+        """Parts of a text that may be encoded apart."""
+        if not self.by_piece:
+            return [text] if text else []
+        if any(s in text for s in self.special):
+            return [x for k, part in enumerate(self.around.split(text)) if part for x in ([part] if k % 2 else _PIECE.findall(part))]
         return _PIECE.findall(text)
 
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.whole(text):
+        if not self.by_piece:
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.memo.__getitem__, _PIECE.findall(text)))
+        if any(s in text for s in self.special):
+            return b"".join(map(self.memo.__getitem__, self.pieces(text)))
+        return b"".join(map(self.memo.__getitem__, (_PRE_TOKEN if _LATIN.fullmatch(text) else _PIECE).findall(text)))
 
 
 @functools.cache
