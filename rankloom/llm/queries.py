@@ -48,7 +48,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substrings.deduplicate(common.table(spark, sf_dir, "documents"))
+    found = substrings.deduplicate(common.table(spark, sf_dir, "documents"), with_text=False)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
