@@ -3,30 +3,35 @@
 For a benchmark item of m words, every window of m words of a document that holds one of the item's shingles (five
 words; shorter items are one shingle) gets a 64-bit SimHash of its shingles. No other window can be similar at all,
 so leaving those out loses nothing. A document of fewer than m words is one window, whole. Fingerprints are looked up
-in eight one-byte blocks: an item and a window within ``radius`` (23) bits agree to within two bits in at least one
-block, so indexing each item under all bytes within two bits of its own finds every pair in the radius. Pairs within
-it are verified by weighted shingle similarity: the sum of weight times the smaller count over that of the larger, at
-least 0.8. A shingle's weight falls with the number of items that hold it, so that boilerplate shared by many items
-counts less.
+in eight one-byte blocks: an item and a window within ``radius`` (15) bits agree to within one bit in at least one
+block, so listing each item under all bytes within one bit of its own finds every pair in the radius, and a quarter of
+the others. Pairs within it are verified by weighted shingle similarity: the sum of weight times the smaller count over
+that of the larger, at least 0.8. A shingle's weight falls with the number of items that hold it, so that boilerplate
+shared by many items counts less. Of windows made from items by one to six edits, 0.990 of those with a similarity of
+0.80 to 0.85 lie within the radius, and all with more (measured against the similarity of every pair).
 
 Words are runs of letters and digits in lower case. Items without a word match nothing.
 
 The index of one pass is broadcast. Its size is checked: items are dealt to as many passes as keep each under
 ``most_chars`` characters of item text (default 8 million), and one item is never larger than that unless its own
-text is. Weights are those of the whole benchmark in every pass, counted by one aggregation, so that the number of
-passes changes no result. Of a shingle that one item or none holds the weight is the same, so a pass needs the others
-alone, whichever items hold them, as they may stand in a window too: 16 bytes each, two words of the benchmark at least.
+text is. Passes run one after another and write what they find, so the driver and the executors hold one index. Weights
+are those of the whole benchmark in every pass, counted by one aggregation, so that the number of passes changes no
+result. Of a shingle that one item or none holds the weight is the same, so a pass needs the others alone, whichever
+items hold them, as they may stand in a window too: 16 bytes each, two words of the benchmark at least.
 
 Nulls: a null text is empty and clean; null doc_ids and repeated rows are kept, one result each; null items are
-left out. An empty benchmark makes every document clean; an empty table gives no rows.
+left out. Items with one id are told apart by text and count as one hit. An empty benchmark makes every document
+clean; an empty table gives no rows. Very long texts are read whole, windows some thousands at a time. Extra columns
+are not looked at by ``scan`` and kept by ``clean``.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,7 +43,7 @@ from rankloom.llm import common
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 23
+RADIUS = 15
 MOST_CHARS = 8_000_000
 _WORD = re.compile(r"[^\W_]+")
 _MEMO = 400_000
@@ -118,14 +123,18 @@ class Index:
             held = {h: k for h, k in holders.items() if k > 1}
             whole = Weights(sum(map(len, sizes.values())), np.fromiter(held, np.uint64, len(held)), np.fromiter(held.values(), np.int64, len(held)))
         self.weights = whole
-        close = np.array([[(a ^ b).bit_count() <= radius // 8 for b in range(256)] for a in range(256)])
+        near = [[v for v in range(256) if (v ^ x).bit_count() <= radius // 8] for x in range(256)]
         self.sizes = []
         by_shingle: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for k, ((m, size), own) in enumerate(sorted(sizes.items())):
             prints = _fingerprints(np.array([_signs(h).sum(axis=0) for _, h in own]))
             blocks = prints.view(np.uint8).reshape(-1, 8)
-            tables = [close[:, blocks[:, b]] for b in range(8)]  # [byte of a window, item]
-            self.sizes.append((m, size, [i for i, _ in own], [Counter(h.tolist()) for _, h in own], prints, tables))
+            lists = []
+            for b in range(8):  # each item under every byte near its own: sorted keys, and the items of each
+                keys = np.concatenate([near[x] for x in blocks[:, b].tolist()])
+                items_ = np.repeat(np.arange(len(own)), [len(near[x]) for x in blocks[:, b].tolist()])
+                lists.append((np.searchsorted(np.sort(keys), np.arange(257)), items_[np.argsort(keys, kind="stable")].astype(np.int32)))
+            self.sizes.append((m, size, [i for i, _ in own], [Counter(h.tolist()) for _, h in own], prints, lists))
             for _, h in own:
                 for x in set(h.tolist()):
                     by_shingle[size][x].append(k)
@@ -161,8 +170,20 @@ class Index:
                 self._windows(k, h, np.array(at), similarity, out)
         return out
 
+    @staticmethod
+    def candidates(found: np.ndarray, lists: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Fingerprints and items that meet in a block's list, each pair once."""
+        blocks, pairs = found.view(np.uint8).reshape(-1, 8), []
+        for b, (starts, members) in enumerate(lists):
+            first, n = starts[blocks[:, b]], np.diff(starts)[blocks[:, b]]
+            rows = np.repeat(np.arange(len(found)), n)
+            at = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+            pairs.append(rows.astype(np.int64) << 32 | members[at])
+        both = np.unique(np.concatenate(pairs))
+        return both >> 32, both & 0xFFFFFFFF
+
     def _windows(self, k: int, h: np.ndarray, at: np.ndarray, similarity: float, out: dict[int, float]) -> None:
-        m, size, ids, counts, prints, tables = self.sizes[k]
+        m, size, ids, counts, prints, lists = self.sizes[k]
         width = min(m - size + 1, len(h))  # shingles of a window; a shorter document is one
         last = len(h) - width
         starts = np.unique((at[:, None] - np.arange(width)).ravel())
@@ -177,11 +198,7 @@ class Index:
                 total = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(_signs(h[low:high]), axis=0, dtype=np.int32)])
                 sums = total[part - low + width] - total[part - low]
             found = _fingerprints(sums)
-            blocks = found.view(np.uint8).reshape(-1, 8)
-            candidate = np.zeros((len(part), len(ids)), bool)
-            for b in range(8):
-                candidate |= tables[b][blocks[:, b]]
-            rows, items = np.nonzero(candidate)
+            rows, items = self.candidates(found, lists)
             kept = np.bitwise_count(found[rows] ^ prints[items]) <= self.radius
             for r, i in zip(rows[kept].tolist(), items[kept].tolist(), strict=True):
                 s = int(part[r])
@@ -190,15 +207,23 @@ class Index:
                     out[ids[i]] = value
 
 
-def indexes(benchmark: DataFrame, most_chars: int = MOST_CHARS) -> Iterator[Index]:
-    """One index for each pass over the documents."""
-    items = benchmark.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+
+
+def passes(benchmark: DataFrame, most_chars: int = MOST_CHARS) -> list[Callable[[], Index]]:
+    """How to make the index of each pass over the documents; none is made before it is asked for."""
+    common.prepare(benchmark.sparkSession)
+    items = _items(benchmark)
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
-    passes = max(1, -(-2 * chars // most_chars)) if chars > most_chars else 1
-    whole = weights(items) if passes > 1 else None
-    for k in range(passes):
-        own = items if passes == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
-        yield Index(sorted((r["item_id"], r["text"]) for r in own.collect()), whole=whole)
+    n = max(1, -(-2 * chars // most_chars)) if chars > most_chars else 1
+    whole = weights(items) if n > 1 else None
+
+    def make(k: int) -> Index:
+        own = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+        return Index(sorted((r["item_id"], r["text"]) for r in own.collect()), whole=whole)
+
+    return [functools.partial(make, k) for k in range(n)]
 
 
 def weights(items: DataFrame) -> Weights:
@@ -217,27 +242,36 @@ def weights(items: DataFrame) -> Weights:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, most_chars: int = MOST_CHARS) -> DataFrame:
-    """doc_id, n_items, item_ids (comma-joined, in order), best_similarity, contaminated of every document."""
-    names = "doc_id long, item_ids array<long>, similarities array<double>"
+    """doc_id, n_items, item_ids (comma-joined, in order), best_similarity, contaminated of every document.
+
+    Several passes write what each finds, so that one index at a time is held by the driver and the executors.
+    """
+    spark = docs.sparkSession
+    todo = passes(benchmark, most_chars)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
-    found = None
-    all_passes = list(indexes(benchmark, most_chars))
-    if len(all_passes) > 1:  # a row number ties the passes of equal rows together
-        rows, _ = common.materialize(rows.withColumn("row", F.monotonically_increasing_id()), "texts")
-    else:
-        rows = rows.withColumn("row", F.lit(0).cast("long"))
-    for index in all_passes:
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+    kinds = "item_ids array<long>, similarities array<double>"
 
-        def look(parts: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+    def look(sent, rows: DataFrame, key: str) -> DataFrame:
+        def find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
                 hits = [sorted(sent.value.find(t, similarity).items()) for t in part["text"]]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "row": part["row"], "item_ids": [[i for i, _ in x] for x in hits], "similarities": [[round(s, 6) for _, s in x] for x in hits]})
+                yield pd.DataFrame({key: part[key], "item_ids": [[i for i, _ in x] for x in hits], "similarities": [[round(s, 6) for _, s in x] for x in hits]})
 
-        one = rows.mapInPandas(look, f"row long, {names}")
-        found = one if found is None else found.unionByName(one)
-    if len(all_passes) > 1:
-        found = found.groupBy("row", "doc_id").agg(F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.flatten(F.collect_list("similarities")).alias("similarities"))
+        return rows.mapInPandas(find, f"{key} long, {kinds}")
+
+    if len(todo) == 1:
+        found = look(spark.sparkContext.broadcast(todo[0]()), rows, "doc_id")
+    else:
+        rows, _ = common.materialize(rows.withColumn("row", F.monotonically_increasing_id()), "texts")  # a number ties the passes of a row together
+        hits = None
+        for make in todo:
+            sent = spark.sparkContext.broadcast(make())
+            own, _ = common.materialize(look(sent, rows.select("row", "text"), "row").filter(F.size("item_ids") > 0), "hits")
+            sent.destroy()
+            hits = own if hits is None else hits.unionByName(own)
+        hits = hits.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.flatten(F.collect_list("similarities")).alias("similarities"))
+        none = F.array().cast("array<long>"), F.array().cast("array<double>")
+        found = rows.select("row", "doc_id").join(hits, "row", "left").select("doc_id", F.coalesce("item_ids", none[0]).alias("item_ids"), F.coalesce("similarities", none[1]).alias("similarities"))
     return found.select(
         "doc_id",
         F.size("item_ids").cast("long").alias("n_items"),
@@ -248,7 +282,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, most_chars: int = MOST_CHARS) -> DataFrame:
-    """docs without contaminated documents; all columns stay."""
+    """docs without contaminated documents; all columns stay. Several passes write what each leaves."""
+    sparkcontext, todo = docs.sparkSession.sparkContext, passes(benchmark, most_chars)
 
     def condition(sent) -> Column:
         def judge(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -257,6 +292,14 @@ def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
 
         return F.pandas_udf(judge, "boolean")(F.col("text"))
 
-    for index in indexes(benchmark, most_chars):
-        docs = docs.filter(condition(docs.sparkSession.sparkContext.broadcast(index)))
+    if len(todo) == 1:
+        return docs.filter(condition(sparkcontext.broadcast(todo[0]())))
+    before = None
+    for make in todo:
+        sent = sparkcontext.broadcast(make())
+        docs, path = common.materialize(docs.filter(condition(sent)), "clean")
+        sent.destroy()
+        if before is not None:
+            common.delete(docs.sparkSession, before)
+        before = path
     return docs
