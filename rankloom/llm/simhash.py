@@ -4,8 +4,10 @@ A 64-bit fingerprint has eight positional bytes. Two fingerprints that differ in
 five of them, so the index need only bring together pairs that agree on four bytes, if every choice of three
 differing bytes leaves one of the indexed groups of four untouched. The fourteen blocks of the quadruple system on
 eight points do that with the fewest groups: every three points lie in exactly one block, and the complement of a
-block is a block. Within a posting list, shared positional bytes are tallied for each pair compared, pairs with at
-least five are retained and verified by their differing bits.
+block is a block. A list of a block has every pair that shares its four bytes, so each pair starts with a tally of
+four (and the other bytes that the whole list shares). The list's other byte positions have postings of their own:
+reading a fingerprint's four postings tallies its further matches, and only pairs that reach the guaranteed minimum of
+five are retained and verified by their differing bits. The rest of the list is never looked at.
 
 Links only matter for components, so a posting list gives a spanning forest of its links: never more edges than
 fingerprints, whatever the size of a group of copies. A list of more than ``most`` fingerprints is indexed once more
@@ -74,6 +76,7 @@ def with_fingerprint(docs: DataFrame) -> DataFrame:
         for part in parts:
             yield pd.DataFrame({"doc_id": part["doc_id"], "text_hash": part["text_hash"], "fp": np.array([_signed(fingerprint(t)) for t in part["text"]], np.int64)})
 
+    common.prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), common.text_or_empty().alias("text"))
     return rows.mapInPandas(compute, "doc_id long, text_hash long, fp long")
 
@@ -104,27 +107,50 @@ def refined(found: DataFrame) -> DataFrame:
     return deeper.select(F.shiftleft("key", 20).bitwiseOR(F.shiftleft("w.way", 16)).bitwiseOR(F.col("w.more")).alias("key"), "fp")
 
 
-def linked(one: np.uint64, others: np.ndarray) -> np.ndarray:
-    """Which of the others link to one: tally of shared bytes first, then differing bits."""
-    differ = others ^ one
-    shared = (differ.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-    kept = np.flatnonzero(shared >= MIN_SHARED)
-    return kept[np.bitwise_count(differ[kept]) <= MAX_BITS]
+class Postings:
+    """The members of one list by byte position and byte, for the positions where they differ."""
+
+    def __init__(self, own: np.ndarray):
+        self.own, self.bytes = own, own.view(np.uint8).reshape(-1, 8)
+        self.free = np.flatnonzero((self.bytes != self.bytes[0]).any(axis=0)).tolist()
+        self.common = 8 - len(self.free)  # positions that all members share
+        self.members = [np.argsort(self.bytes[:, p], kind="stable") for p in self.free]
+        self.starts = [np.searchsorted(self.bytes[m, p], np.arange(257)) for p, m in zip(self.free, self.members, strict=True)]
+
+    def linked(self, one: int, left: np.ndarray) -> np.ndarray:
+        """Members that are left and link to one: tally of shared positions by count filter, then differing bits."""
+        if self.common >= MIN_SHARED:
+            found = np.flatnonzero(left)
+        else:
+            mine = self.bytes[one].tolist()
+            matches = np.concatenate([m[s[mine[p]] : s[mine[p] + 1]] for p, m, s in zip(self.free, self.members, self.starts, strict=True)])
+            matches = matches[left[matches]]
+            if self.common == MIN_SHARED - 1:  # one more match is enough
+                found = np.unique(matches)
+            else:
+                found, tally = np.unique(matches, return_counts=True)
+                found = found[tally + self.common >= MIN_SHARED]
+        return found[np.bitwise_count(self.own[found] ^ self.own[one]) <= MAX_BITS]
 
 
 def forest(own: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links among distinct fingerprints, breadth first: a node is compared with the unreached ones alone."""
-    left, edges = own, []
-    while len(left) > 1:
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
+    """A spanning forest of the links among distinct fingerprints of one list: a node is compared with the unreached ones alone."""
+    edges = []
+    if len(own) == 2:
+        one, two = own.tolist()
+        return [(_signed(one), _signed(two))] if (one ^ two).bit_count() <= MAX_BITS else []
+    postings_, left = Postings(own), np.ones(len(own), bool)
+    for first in range(len(own)):
+        if not left[first]:
+            continue
+        left[first] = False
+        queue = [first]
+        while queue:
             node = queue.pop()
-            hit = linked(node, left)
-            if len(hit):
-                found = left[hit]
-                queue.extend(found)
-                edges += [(int(node), int(x)) for x in found]
-                left = np.delete(left, hit)
+            hit = postings_.linked(node, left)
+            left[hit] = False
+            queue += hit.tolist()
+            edges += [(_signed(int(own[node])), _signed(int(own[x]))) for x in hit]
     return edges
 
 
@@ -132,7 +158,7 @@ def _forests(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges of all lists of a task, whose rows come in order of key."""
 
     def batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-        pairs = np.array(edges, np.uint64).reshape(-1, 2).view(np.int64)
+        pairs = np.array(edges, np.int64).reshape(-1, 2)
         return pa.record_batch([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["u", "v"])
 
     held_keys, held = np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -189,11 +215,13 @@ def near_duplicates(docs: DataFrame, most: int = MOST) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each component stays, the one with the smallest doc_id; of equal ids, one row. All columns stay."""
-    key, own = common.free_name(docs, "text_key"), common.free_name(docs, "id_key")
+    """One document of each component stays, the one with the smallest doc_id; of equal ids and texts, the row whose columns have the smallest hash. All columns stay."""
+    key, own, row = common.free_name(docs, "text_key"), common.free_name(docs, "id_key"), common.free_name(docs, "whole_row")
     none = F.lit(-(1 << 63)).cast("long")
     found = near_duplicates(docs)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     picked = found.groupBy("root").agg(best.alias("p")).select(F.coalesce("p.doc_id", none).alias(own), F.col("p.text_hash").alias(key))
-    keyed = docs.withColumn(own, F.coalesce(F.col("doc_id").cast("long"), none)).withColumn(key, F.xxhash64(F.col("text").cast("string")))
-    return keyed.join(picked, [own, key], "left_semi").dropDuplicates([own, key]).drop(own, key)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), none).alias(own), F.xxhash64(F.col("text").cast("string")).alias(key), F.struct(*columns).alias(row))
+    kept = keyed.join(picked, [own, key], "left_semi").groupBy(own, key).agg(F.min_by(row, F.xxhash64(row)).alias(row))
+    return kept.select(f"{row}.*")

@@ -125,3 +125,16 @@ def test_forest_is_linear():
     center = rng.integers(0, 1 << 63, dtype=np.uint64)
     own = np.unique(np.array([center] + [center ^ np.uint64(1 << a) ^ np.uint64(1 << b) for a in range(64) for b in range(a)], np.uint64))
     assert len(simhash.forest(own)) == len(own) - 1
+
+
+@pytest.mark.parametrize("common", [0, 4, 5, 8])
+def test_tally_of_a_list_loses_no_link(common):
+    """Lists whose members share bytes, with bytes at both ends of their range."""
+    rng = np.random.default_rng(common)
+    own = rng.choice(np.array([0, 1, 2, 127, 128, 254, 255], np.uint8), size=(400, 8))
+    own[:, :common] = own[0, :common]
+    values = np.unique(own.reshape(-1).view(np.uint64))
+    postings = simhash.Postings(values)
+    for k in range(len(values)):
+        want = np.flatnonzero(np.bitwise_count(values ^ values[k]) <= 3)
+        assert sorted(postings.linked(k, np.ones(len(values), bool)).tolist()) == want.tolist()
