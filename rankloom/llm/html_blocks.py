@@ -2,25 +2,30 @@
 
 A page is cut into leaf blocks: runs of text between block-level tags or line breaks, with character references
 decoded and white space reduced to single spaces. Scripts, styles, comments and other content that is never shown
-are not blocks. Each block has two hashed vectors, of its tag path (element names with their class and id words) and
-of its words, beside its length and link share. A bidirectional LSTM in numpy reads a page's blocks in order, both
-ways, and labels every block as main text or not with the whole page as context.
+are not blocks; an element of that kind without an end tag is read as any other. The scanner is linear in a page's
+length, and blocks share the nodes of their tag paths, whatever is nested or left open. Each block has two hashed
+vectors, of its tag path (element names with their class and id words) and of its words, beside its length and link
+share. A bidirectional LSTM in numpy reads a page's blocks in order, both ways, and labels every block as main text or
+not with the whole page as context.
 
 The labeller is trained on at most ``most_pages`` pages (default 250, the first by a hash of their id, up to 60,000
 characters each) and variants of them with furniture moved in and containers renamed. Labels come from plain rules
 over element and class names, which the network learns to apply where names are missing or unknown. Everything else
 covers all pages and whole texts; a page of any number of blocks is read in full.
 
-Nulls: a null or empty html has empty text; null page_ids and urls are kept; repeated rows give one result each. An
-empty table gives no rows and needs no model.
+Nulls: a null or empty html has empty text; null page_ids and urls are kept; repeated rows give one result each. A
+block whose score is exactly even is not main text. Extra columns, of any name, are not looked at. An empty table
+gives no rows and needs no model.
 """
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,111 +34,179 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.llm import common
+
 PATH_DIM, WORD_DIM, HIDDEN = 96, 24, 16
 MOST_PAGES, MOST_TRAIN_CHARS = 250, 60_000
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<!--.*?(?:-->|$)|<[!?][^>]*>", re.S)
+_OPEN = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|(!--)|[!?])")
+_REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z]+")
 _WORDS = re.compile(r"\w+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN_CONTENT = frozenset("script style noscript template title textarea select svg math iframe object head canvas audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+#: Content that is never shown as text: to its end tag, or to the end of the page for the first two. Without an end tag the others are plain elements.
+RAW = frozenset(("script", "style"))
+HIDDEN_CONTENT = RAW | frozenset("noscript template title textarea select svg iframe object canvas audio video".split())
+INLINE = frozenset("a abbr acronym audio b bdi bdo big canvas cite code data del dfn em font i iframe ins kbd label mark math mi mn mo mrow ms msub msup mtext object q s samp select small span strike strong sub sup svg textarea time tt u var video wbr".split())
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
+class Node:
+    """An open element. It shares its parents with all others below them and holds what the labeller and the training rule need of its path."""
+
+    __slots__ = ("element", "furniture", "main", "parent", "vector")
+
+    def __init__(self, parent: Node | None, element: str):
+        self.parent, self.element = parent, element
+        vector, furniture, main = _elements[element]
+        if parent is None:
+            self.vector, self.furniture, self.main = vector, furniture, main
+        else:
+            self.vector, self.furniture, self.main = parent.vector + vector, parent.furniture or furniture, parent.main or main
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]
+    node: Node
     linked: int  # characters inside links
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        out, node = [], self.node
+        while node.parent is not None:
+            out.append(node.element)
+            node = node.parent
+        return tuple(reversed(out))
+
 
 def _element(name: str, attributes: str) -> str:
     words = sorted({w for m in _ATTRIBUTE.finditer(attributes) for w in _NAME.findall((m[2] or m[3] or m[4] or "").lower())}) if "=" in attributes else []
     return ".".join([name, *words])
 
 
-def parse(page: str | None) -> list[Block]:
-    """Leaf blocks of a page in order."""
-    out: list[Block] = []
-    stack: list[tuple[str, str]] = []
-    held: list[str] = []
-    linked = hidden_until = 0
-    at, n = 0, len(page or "")
-    page = page or ""
-
-    def flush() -> None:
-        nonlocal linked
-        if held:
-            text = _SPACE.sub(" ", "".join(held)).strip()
+@functools.cache
+def _end_tag(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}\s*>", re.I)
+
+
+_HEAD_END = re.compile(r"</head\s*>|<body\b", re.I)
+
+
+class _Parser:
+    """One pass over a page, in time linear in its length: what has not been found up to the end is not looked for again."""
+
+    def __init__(self, page: str):
+        self.page, self.out, self.held = page, [], []
+        self.stack: list[tuple[str, Node]] = []
+        self.open: Counter = Counter()
+        self.linked, self.in_head, self.heads, self.quotes = 0, False, 0, True
+        self.unended: set[str] = set()
+
+    def flush(self) -> None:
+        if self.held:
+            text = _SPACE.sub(" ", "".join(self.held)).strip()
             if text:
-                out.append(Block(text, tuple(e for _, e in stack), min(linked, len(text))))
-            held.clear()
-        linked = 0
+                self.out.append(Block(text, self.stack[-1][1] if self.stack else _root, min(self.linked, len(text))))
+            self.held.clear()
+        self.linked = 0
 
-    def take(raw: str) -> None:
-        nonlocal linked
+    def take(self, raw: str) -> None:
+        if self.in_head or not raw:
+            return
         text = entities.unescape(raw)
-        held.append(text)
-        if any(name == "a" for name, _ in stack):
-            linked += len(text)
-
-    while at < n:
-        m = _TAG.search(page, at)
-        if m is None:
-            take(page[at:])
-            break
-        if m.start() > at:
-            take(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            continue
-        name = m[2].lower()
-        if m[1]:
-            if name not in INLINE:
-                flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-            continue
-        if name in HIDDEN_CONTENT:
-            if name != "head" and not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                hidden_until = end.end() if end else n
-                at = hidden_until
-            elif name == "head":
-                end = re.compile(r"</head\s*>|<body\b", re.I).search(_blank_raw(page, at), at)
-                if end:
-                    at = end.start() if end[0].lower().startswith("<body") else end.end()
-            continue
+        self.held.append(text)
+        if self.open["a"]:
+            self.linked += len(text)
+
+    def cut(self, k: int) -> None:
+        """Close the elements from the k-th on."""
+        for name, _ in self.stack[k:]:
+            self.open[name] -= 1
+        del self.stack[k:]
+
+    def rest(self, at: int) -> tuple[str, int] | None:
+        """Attributes of a tag whose name ends at a place, and where the tag ends; quotes that are never closed count for nothing."""
+        if self.quotes:
+            if m := _REST.match(self.page, at):
+                return m[1], m.end()
+            self.quotes = False
+        end = self.page.find(">", at)
+        return None if end < 0 else (self.page[at:end], end + 1)
+
+    def close(self, name: str) -> None:
+        if name == "head":
+            self.in_head = False
         if name not in INLINE:
-            flush()
+            self.flush()
+        if self.open[name]:
+            k = len(self.stack) - 1
+            while self.stack[k][0] != name:
+                k -= 1
+            self.cut(k)
+
+    def begin(self, name: str, attributes: str, at: int) -> int:
+        """Open an element whose tag ends at a place; where to go on."""
+        if name == "head":
+            self.heads += 1
+            self.in_head = self.heads == 1 and _HEAD_END.search(self.page, at) is not None
+            return at
+        if name == "body":
+            self.in_head = False
+        if name in HIDDEN_CONTENT and name not in self.unended and not attributes.endswith("/"):
+            if end := _end_tag(name).search(self.page, at):
+                return end.end()
+            if name in RAW:
+                return len(self.page)
+            self.unended.add(name)
+        if name not in INLINE:
+            self.flush()
         if name in _CLOSES or name in _ENDS_P:
-            closing = _CLOSES.get(name, set()) | ({"p"} if name in _ENDS_P else set())
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in closing:
-                    del stack[k:]
-                    break
-                if stack[k][0] not in INLINE:
-                    break
-        if name not in VOID and not m[3].endswith("/"):
-            stack.append((name, _element(name, m[3])))
-    flush()
-    return out
-
-
-_RAW = re.compile(r"<(script|style|title|noscript)\b[^>]*>.*?</\1\s*>", re.S | re.I)
+            closing = _CLOSES.get(name, frozenset()) | ({"p"} if name in _ENDS_P else frozenset())
+            k = len(self.stack) - 1
+            while k >= 0 and self.stack[k][0] in INLINE and self.stack[k][0] not in closing:
+                k -= 1
+            if k >= 0 and self.stack[k][0] in closing:
+                self.cut(k)
+        if name not in VOID and not attributes.endswith("/"):
+            self.stack.append((name, Node(self.stack[-1][1] if self.stack else _root, _element(name, attributes))))
+            self.open[name] += 1
+        return at
+
+    def run(self) -> list[Block]:
+        page, at, last = self.page, 0, self.page.rfind(">")
+        text_from = 0
+        while (m := _OPEN.search(page, at)) and m.start() < last:
+            if m[3]:
+                end = page.find("-->", m.end())
+                following = len(page) if end < 0 else end + 3
+            else:
+                found = self.rest(m.end()) if m[2] else ("", page.find(">", m.end()) + 1)
+                if found is None or not found[1]:
+                    at = m.end()
+                    continue
+                following = found[1]
+            self.take(page[text_from : m.start()])
+            if m[2]:
+                name = m[2].lower()
+                if m[1]:
+                    self.close(name)
+                else:
+                    following = self.begin(name, found[0], following)
+            at = text_from = following
+        if not (m and m[3]):  # an unclosed comment hides the rest
+            self.take(page[text_from:])
+        else:
+            self.take(page[text_from : m.start()])
+        self.flush()
+        return self.out
 
 
-def _blank_raw(page: str, at: int) -> str:
-    """The page with raw-text elements of its head blanked, so that tags inside scripts and styles are not seen."""
-    head_end = page.lower().find("</head", at)
-    limit = len(page) if head_end < 0 else head_end
-    head = _RAW.sub(lambda m: " " * len(m[0]), page[:limit])
-    return head + page[limit:]
+def parse(page: str | None) -> list[Block]:
+    """Leaf blocks of a page in order."""
+    return _Parser(page).run() if page else []
 
 
 #: Names of elements, and words of classes and ids, of page furniture and of main text: fixed values of the rules.
@@ -147,34 +220,38 @@ MAIN_TAGS = frozenset(("article", "main"))
 MAIN_WORDS = frozenset("article content main entry post story body text".split())
 
 
-def rule(path: tuple[str, ...], text: str) -> bool:
-    """The training rule for one block."""
-    main = False
-    for element in path:
-        name, *words = element.split(".")
-        if name in FURNITURE_TAGS or not FURNITURE_WORDS.isdisjoint(words):
-            return False
-        main = main or name in MAIN_TAGS or (name in ("div", "section") and not MAIN_WORDS.isdisjoint(words))
-    return main
-
-
 def _place(word: str, size: int) -> tuple[int, float]:
     h = zlib.crc32(word.encode("utf-8", "surrogatepass"))
     return h % size, 1.0 if h >> 16 & 1 else -1.0
 
 
-class _Paths(dict):
-    def __missing__(self, path: tuple[str, ...]) -> np.ndarray:
-        out = np.zeros(PATH_DIM, np.float32)
-        for element in path:
-            for word in element.split("."):
-                k, sign = _place(f"path {word}", PATH_DIM)
-                out[k] += sign
+class _Elements(dict):
+    """Vector of an element, and whether it is furniture, and main text, by the names in it."""
+
+    def __missing__(self, element: str) -> tuple[np.ndarray, bool, bool]:
+        vector = np.zeros(PATH_DIM, np.float32)
+        name, *words = element.split(".")
+        for word in (name, *words):
+            k, sign = _place(f"path {word}", PATH_DIM)
+            vector[k] += sign
+        furniture = name in FURNITURE_TAGS or not FURNITURE_WORDS.isdisjoint(words)
+        main = name in MAIN_TAGS or (name in ("div", "section") and not MAIN_WORDS.isdisjoint(words))
+        out = vector, furniture, main
         if len(self) < 50_000:
-            self[path] = out
+            self[element] = out
         return out
 
 
+_elements = _Elements()
+_elements[""] = np.zeros(PATH_DIM, np.float32), False, False
+_root = Node(None, "")
+
+
+def rule(block: Block) -> bool:
+    """The training rule for one block: below a main element and no furniture."""
+    return block.node.main and not block.node.furniture
+
+
 class _WordPlaces(dict):
     def __missing__(self, word: str) -> int:
         place = zlib.crc32(word.encode("utf-8", "surrogatepass")) % WORD_DIM
@@ -183,14 +260,14 @@ class _WordPlaces(dict):
         return place
 
 
-_paths, _word_places = _Paths(), _WordPlaces()
+_word_places = _WordPlaces()
 INPUT = PATH_DIM + WORD_DIM + 3
 
 
 def vectors(found: list[Block]) -> np.ndarray:
     out = np.zeros((len(found), INPUT), np.float32)
     for row, block in zip(out, found, strict=True):
-        row[:PATH_DIM] = np.clip(_paths[block.path], -2, 2)
+        row[:PATH_DIM] = np.clip(block.node.vector, -2, 2)
         own = _WORDS.findall(block.text.lower())
         at = np.fromiter(map(_word_places.__getitem__, own), np.int64, len(own))
         counts = np.bincount(at, minlength=WORD_DIM)
@@ -371,12 +448,13 @@ def train_labeller(sample: list[str], seed: int = 0) -> Labeller:
     found = [f for f in found if f]
     model = Labeller(seed)
     if found:
-        model.fit([vectors(f) for f in found], [np.array([rule(b.path, b.text) for b in f], np.float32) for f in found], seed=seed)
+        model.fit([vectors(f) for f in found], [np.array([rule(b) for b in f], np.float32) for f in found], seed=seed)
     return model
 
 
 def train(pages: DataFrame, most_pages: int = MOST_PAGES, most_chars: int = MOST_TRAIN_CHARS, seed: int = 0) -> Labeller:
     """Fit on the first pages by a hash of their id and address; the bounds are those of the module."""
+    common.prepare(pages.sparkSession)
     key = F.xxhash64("page_id", "url", "html")
     usable = pages.filter(F.col("html").isNotNull() & (F.length("html") <= most_chars)).select(key.alias("key"), F.col("html").cast("string").alias("html"))
     # Keys are ranked first, so that tasks send the driver keys and only the chosen pages' texts.
@@ -393,6 +471,7 @@ def extract_text(model: Labeller, pages: list[str | None]) -> list[str]:
 
 def extract(pages: DataFrame, model: Labeller) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
+    common.prepare(pages.sparkSession)
     model.ahead.kept, model.back.kept, model.both = [], [], None
     sent = pages.sparkSession.sparkContext.broadcast(model)  # under 100 kB
 
