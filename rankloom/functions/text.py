@@ -63,10 +63,10 @@ def once(column: Column) -> Column:
 
 
 def shingles(words: Column, n: int) -> Column:
-    """The distinct runs of n words, space-joined; words must be an attribute, as it is read often."""
+    """The distinct runs of n words as 64-bit hashes; words must be an attribute, as it is read often."""
     last = F.size(words) - (n - 1)
-    every = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(last >= 1, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+    every = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " ")))
+    return F.when(last >= 1, F.array_distinct(every)).otherwise(F.array().cast("array<bigint>"))
 
 
 def skills(text: Column) -> Column:
@@ -100,9 +100,15 @@ def assemble(*fields: Column) -> Column:
     return F.regexp_replace(F.concat_ws("\n\n", *kept), "\n{3,}", "\n\n")
 
 
+_QUOTED = r"""'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+\""""
+_ITEM = rf"(?:{_QUOTED}|None|True|False|[-+]?[0-9][0-9.eE+-]*+)"
+
+
 def parse_list(cell: Column) -> Column:
-    """Strings of a list written as text with single quotes; empty where it is none."""
-    return F.coalesce(F.from_json(F.regexp_replace(cell, "'", '"'), "array<string>"), F.array().cast("array<string>"))
+    """Strings of a list written as text, in either kind of quotes; empty where it is no list."""
+    whole = cell.rlike(rf"(?s)^\s*\[\s*(?:{_ITEM}\s*+(?:,\s*+{_ITEM}\s*+)*+,?\s*)?\]\s*$")
+    items = F.transform(F.regexp_extract_all(cell, F.lit(f"(?s){_QUOTED}"), 0), lambda x: F.regexp_replace(F.substr(x, F.lit(2), F.length(x) - 2), r"(?s)\\(.)", "$1"))
+    return F.when(whole, items).otherwise(F.array().cast("array<string>"))
 
 
 def truthy(text: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rankloom.functions import text
+from rankloom.operators import evaluation
 from rankloom.operators.guards import GuardError, require_none
 
 LABELS = ("Good Fit", "Potential Fit", "No Fit")
@@ -62,6 +64,28 @@ def kappa(both: DataFrame, by: list[str] | None = None) -> DataFrame:
     return joined.select(*by, "n", F.round("po", 6).alias("agreement"), F.round(F.when(pe < 1, (F.col("po") - pe) / (1 - pe)), 6).alias("kappa"))
 
 
+def _codes(a: Column, b: Column, labels: tuple[str, ...]) -> Column:
+    place = lambda x: F.array_position(F.array(*map(F.lit, labels)), x).cast("int") - 1
+    return F.when(place(a) >= 0, place(a) * len(labels) + place(b))
+
+
+def kappa_interval(both: DataFrame, by: list[str], unit: str, labels: tuple[str, ...] = LABELS, draws: int = 2000, seed: int = 0) -> DataFrame:
+    """by, n, agreement, kappa, ci_low, ci_high of columns a and b, resampling pairs; draws in which both sides are constant are left out."""
+    k = len(labels)
+    coded = both.select(*by, F.col(unit).alias("unit"), _codes(F.col("a"), F.col("b"), labels).alias("code"))
+    drawn = evaluation.resampled(coded, by, "unit", "code", draws, seed)
+    cells = F.transform(F.sequence(F.lit(0), F.lit(k * k - 1)), lambda c: F.size(F.filter("_v", lambda x: x == c)))
+    counted = drawn.select(*by, "_d", F.size("_v").alias("n"), text.once(cells).alias("c"))
+    rows = [sum((F.col("c")[i * k + j] for j in range(k)), F.lit(0)) for i in range(k)]
+    cols = [sum((F.col("c")[i * k + j] for i in range(k)), F.lit(0)) for j in range(k)]
+    n = F.col("n")
+    po, pe = sum((F.col("c")[i * (k + 1)] for i in range(k)), F.lit(0)) / n, sum((r * c for r, c in zip(rows, cols, strict=True)), F.lit(0)) / (n * n)
+    constant = (F.greatest(*rows) == n) & (F.greatest(*cols) == n)
+    kept = counted.filter(~constant).select(*by, F.when(pe < 1, (po - pe) / (1 - pe)).alias("k"))
+    found = evaluation.interval(kept, by, "k", 5)
+    return kappa(both, by).join(found, by, "left") if by else kappa(both).crossJoin(found)
+
+
 def majority(votes: DataFrame, key: str) -> DataFrame:
     """key, label, n_votes: the most common label, null on a tie of the first two."""
     counts = votes.groupBy(key, "label").agg(F.count("*").alias("n"))
@@ -102,6 +126,12 @@ def fit_label_model(scored: DataFrame, labels: tuple[str, ...] = LABELS, rounds:
     return model
 
 
+def apply_rule(scored: DataFrame, coefficients: dict[str, tuple[float, float]]) -> DataFrame:
+    """query_id, doc_id, score, predicted by stored coefficients (intercept, slope) of each label: the largest margin, ties in order."""
+    margins = F.array(*(F.struct((F.lit(a) + F.lit(b) * F.col("score")).alias("m"), F.lit(-k).alias("p"), F.lit(name).alias("label")) for k, (name, (a, b)) in enumerate(coefficients.items())))
+    return scored.select("query_id", "doc_id", "score", F.array_max(margins)["label"].alias("predicted"))
+
+
 def predict_label(model, scored: DataFrame, labels: tuple[str, ...] = LABELS) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
 

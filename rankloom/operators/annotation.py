@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import order, text
 from rankloom.operators.agreement import LABELS
-from rankloom.operators.guards import require_none
+from rankloom.operators.guards import require_clean, require_none
 
 DISPATCH = ("queue_id", "query_text", "candidate_text")
 KEY = ("queue_id", "corpus", "query_id", "doc_id", "selection_reason", "position")
@@ -28,10 +28,10 @@ def build_queue(pairs: DataFrame, judgements: DataFrame, seed: int) -> DataFrame
     keyed = pairs.withColumn("pair_id", F.concat_ws("__", "query_id", "doc_id"))
     left = keyed.join(judged(judgements), "pair_id", "left_anti")
     require_none(left.filter("query_text is null or candidate_text is null").select("pair_id"), "no text")
-    n = F.count("*").over(W.partitionBy(F.lit(0)))
-    out = left.withColumn("queue_id", order.opaque_id(F.col("corpus"), F.col("query_id"), F.col("doc_id"))).withColumn("_n", n)
-    place = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(order.digest(seed, F.col("_n"), F.col("pair_id")), "pair_id")) - 1
-    return out.withColumn("position", place).withColumn("query_text", text.redact(F.col("query_text"))).withColumn("candidate_text", text.redact(F.col("candidate_text"))).drop("_n")
+    n = left.agg(F.count("*").alias("_n"))  # one row
+    out = left.withColumn("queue_id", order.opaque_id(F.col("corpus"), F.col("query_id"), F.col("doc_id"))).crossJoin(F.broadcast(n))
+    out = order.ranked(out, order.digest(seed, F.col("_n"), F.col("pair_id")), F.col("pair_id"), "position").withColumn("position", F.col("position") - 1)
+    return out.withColumn("query_text", text.redact(F.col("query_text"))).withColumn("candidate_text", text.redact(F.col("candidate_text"))).drop("_n")
 
 
 def projections(queue: DataFrame) -> dict[str, DataFrame]:
@@ -47,18 +47,36 @@ def outstanding(pairs: DataFrame, judgements: DataFrame, annotator: str, fractio
     return joined.filter((F.col("_have") < wanted) & (F.col("_mine") == 0)).drop("_have", "_mine")
 
 
+def _seat_key(annotator: str, seed: int):
+    """The twelve hex digits that order queries for an annotator."""
+    return F.substring(order.digest(seed, F.concat_ws("|", F.lit(annotator), "query_id")), 1, 12)
+
+
+def _place(seed: int):
+    return F.row_number().over(W.partitionBy("query_id").orderBy(order.group_order(F.concat_ws("|", "query_id", "doc_id"), seed), "doc_id"))
+
+
 def serving_order(owed: DataFrame, annotator: str, seed: int) -> DataFrame:
     """owed with seat (the query's place for this annotator) and place (the candidate's in its query)."""
-    seat = F.dense_rank().over(W.partitionBy(F.lit(0)).orderBy(order.group_order(F.concat_ws("|", F.lit(annotator), "query_id"), seed), "query_id"))
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(order.group_order(F.concat_ws("|", "query_id", "doc_id"), seed), "doc_id"))
-    return owed.withColumn("seat", seat).withColumn("place", place)
+    seats = order.ranked(owed.select("query_id").distinct(), _seat_key(annotator, seed), F.col("query_id"), "seat")
+    return owed.join(seats, "query_id").withColumn("place", _place(seed))
+
 
+def serve(pairs: DataFrame, judgements: DataFrame, annotator: str, fraction: float, seed: int, redact: tuple[str, ...] = ()) -> DataFrame:
+    """The next group for an annotator, whole and in order; complete says whether it is all of its query's pairs.
 
-def serve(pairs: DataFrame, judgements: DataFrame, annotator: str, fraction: float, seed: int) -> DataFrame:
-    """The next group for an annotator, whole and in order; complete says whether it is all of its query's pairs."""
-    group = serving_order(outstanding(pairs, judgements, annotator, fraction, seed), annotator, seed).filter("seat = 1").drop("seat")
-    size = pairs.groupBy("query_id").agg(F.count("*").alias("_all"))
-    return group.join(size, "query_id").withColumn("complete", F.count("*").over(W.partitionBy("query_id")) == F.col("_all")).drop("_all")
+    Columns named in redact are masked, and none may have personal data left.
+    """
+    owed = outstanding(pairs, judgements, annotator, fraction, seed)
+    first = owed.agg(F.min(F.struct(_seat_key(annotator, seed).alias("k"), "query_id")).alias("f")).select("f.query_id")  # one row
+    group = owed.join(F.broadcast(first), "query_id", "left_semi").withColumn("place", _place(seed))
+    size = pairs.join(F.broadcast(first), "query_id", "left_semi").agg(F.count("*").alias("_all"))
+    out = group.crossJoin(F.broadcast(size)).withColumn("complete", F.count("*").over(W.partitionBy("query_id")) == F.col("_all")).drop("_all")
+    for name in redact:
+        out = out.withColumn(name, text.redact(F.col(name)))
+    if redact:
+        require_clean(out, *redact)
+    return out
 
 
 def validate(groups: DataFrame, relevant: tuple[str, ...] = ("Good Fit", "Potential Fit")) -> DataFrame:

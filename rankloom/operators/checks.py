@@ -69,20 +69,52 @@ def queue_checks(queue: DataFrame, judged: DataFrame) -> list[DataFrame]:
     ]
 
 
+def blinding_checks(dispatch: DataFrame, columns: tuple[str, ...], hidden: tuple[str, ...] = ("relevance", "label", "a1_label", "selection_reason", "lexical_band")) -> list[DataFrame]:
+    """What a judge opens has the agreed columns and none that tells an answer: a matter of the schema, not of rows."""
+    names = lambda found: dispatch.sparkSession.createDataFrame([(x,) for x in found], "name string")
+    return [check("queue: dispatch is blind", names([c for c in dispatch.columns if c in hidden])), check("queue: dispatch has its columns", names([c for c in columns if c not in dispatch.columns]))]
+
+
 def label_checks(judgements: DataFrame, units: DataFrame) -> list[DataFrame]:
-    drift = judgements.join(units.select("pair_id", F.col("batch").alias("_b")), "pair_id").filter(~F.col("batch").eqNullSafe(F.col("_b")))
+    """judgements: pair_id, query_id, annotator, label, batch, stratum, picked; units: pair_id, batch, stratum."""
+    both = judgements.join(units.select("pair_id", F.col("batch").alias("_b"), F.col("stratum").alias("_s")), "pair_id")
     return [
         check("labels: in the scheme", judgements.filter(~F.col("label").isin(*LABELS) | F.col("label").isNull())),
         check("labels: no annotator twice on a pair", duplicate_keys(judgements, "pair_id", "annotator")),
         check("labels: known pairs", judgements.join(units, "pair_id", "left_anti")),
-        check("labels: batch has not drifted", drift),
+        check("labels: batch has not drifted", both.filter(~F.col("batch").eqNullSafe(F.col("_b")))),
+        check("labels: stratum has not drifted", both.filter(~F.col("stratum").eqNullSafe(F.col("_s")))),
+        check("labels: one pick for each query", duplicate_keys(judgements.filter("picked"), "annotator", "query_id")),
     ]
 
 
-def machine_checks(prompts: DataFrame, human: DataFrame) -> list[DataFrame]:
+def machine_checks(judged: DataFrame, human: DataFrame, current: str, wide: DataFrame, narrow: DataFrame) -> list[DataFrame]:
+    """judged: pair_id, run, draw, prompt, prompt_sha256, agent_sha256, label; human: annotator; wide and narrow: pair_id of the two draws."""
     return [
-        check("machine: one draw for each run", prompts.groupBy("run").agg(F.count_distinct("draw").alias("d"), F.count_if(F.col("draw").isNull()).alias("m")).filter("d > 1 or m > 0")),
-        check("machine: prompt digests", prompts.filter(F.sha2("prompt", 256) != F.col("prompt_sha256"))),
+        check("machine: one draw for each run", judged.groupBy("run").agg(F.count_distinct("draw").alias("d"), F.count_if(F.col("draw").isNull()).alias("m")).filter("d > 1 or m > 0")),
+        check("machine: prompt digests", judged.filter(F.sha2("prompt", 256) != F.col("prompt_sha256"))),
         check("machine: no machine rows in the human log", human.filter(F.col("annotator").startswith("llm:"))),
-        check("machine: no prompt twice", duplicate_keys(prompts, "pair_id", "run")),
+        check("machine: no prompt twice", duplicate_keys(judged, "pair_id", "run")),
+        check("machine: the instrument is current", judged.filter(~F.col("agent_sha256").eqNullSafe(F.lit(current)))),
+        check("machine: in the scheme", judged.filter(~F.col("label").isin(*LABELS))),
+        check("machine: within the drawn pairs", judged.join(wide.select("pair_id").distinct(), "pair_id", "left_anti")),
+        check("machine: the narrow draw is within the wide one", narrow.select("pair_id").join(wide.select("pair_id"), "pair_id", "left_anti")),
+    ]
+
+
+def domain_checks(pairs: DataFrame, regions: DataFrame, shortlist: DataFrame, holdout: DataFrame, specs: DataFrame) -> list[DataFrame]:
+    """pairs: pair_id, doc_id, batch, stratum of a campaign; regions: doc_id, region; shortlist, holdout: doc_id; specs: batch, stratum as declared."""
+    sizes = holdout.select("doc_id").distinct().agg(F.count("*").alias("h")).crossJoin(pairs.agg(F.count_distinct("doc_id").alias("p")))
+    declared = specs.select("batch", F.col("stratum").alias("_s")).distinct()
+    return [
+        check("campaign: eval region only", pairs.join(regions, "doc_id").filter("region <> 'eval'")),
+        check("campaign: nothing of the shortlist", pairs.join(shortlist.select("doc_id").distinct(), "doc_id", "left_semi")),
+        check("campaign: all held out", pairs.join(holdout.select("doc_id").distinct(), "doc_id", "left_anti")),
+        check("campaign: the holdout is wider than the pairs", sizes.filter("h <= p")),
+        check("campaign: unique pairs", duplicate_keys(pairs, "pair_id")),
+        check("campaign: every batch is declared", pairs.join(declared.select("batch").distinct(), "batch", "left_anti")),
+        check("campaign: no document in two batches", pairs.groupBy("doc_id").agg(F.count_distinct("batch").alias("n")).filter("n > 1")),
+        check("campaign: strata are those of their batches", pairs.join(declared, "batch").filter("stratum <> _s")),
+        check("campaign: known strata", pairs.filter("stratum not in ('generic', 'targeted')")),
+        check("campaign: batches are declared once", duplicate_keys(specs, "batch")),
     ]

@@ -30,6 +30,16 @@ def flatten(spark: SparkSession, document: dict) -> DataFrame:
     return spark.createDataFrame(rows, "path string, kind string, value string")
 
 
+def by_group(found: DataFrame, expected: DataFrame, informational: tuple[str, ...] = ("environment",)) -> DataFrame:
+    """group (a path's first name), paths, problems, ok: differences of informational groups are counted but never fail."""
+    first = F.regexp_extract("path", r"^[^.\[]*", 0)
+    every = expected.select(first.alias("group")).unionByName(found.select(first.alias("group"))).groupBy("group").agg(F.lit(1).alias("_"))
+    n = expected.groupBy(first.alias("group")).agg(F.count("*").alias("paths"))
+    wrong = found.groupBy(first.alias("group")).agg(F.count("*").alias("problems"))
+    out = every.join(n, "group", "left").join(wrong, "group", "left").fillna(0, ["paths", "problems"])
+    return out.select("group", "paths", "problems", ((F.col("problems") == 0) | F.col("group").isin(*informational)).alias("ok"))
+
+
 def differences(expected: DataFrame, actual: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """path, problem for each path that is missing, unexpected or different."""
     e = expected.select("path", F.col("kind").alias("ek"), F.col("value").alias("ev"))

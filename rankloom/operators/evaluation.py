@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rankloom.functions import order
+from rankloom.functions import order, text
 from rankloom.operators.guards import GuardError
 
 CLASSES = ("judged_relevant_strict", "judged_relevant_graded", "judged_none", "unjudged_distractor")
@@ -31,17 +31,16 @@ def require_depth(pools: DataFrame, k: int) -> None:
         raise GuardError(f"k={k} is deeper than the shallowest pool ({least})")
 
 
-def _gain(definition: Column) -> Column:
-    good, potential = F.col("relevance") == "good", F.col("relevance") == "potential"
-    return F.when(definition == "strict", F.when(good, 1).otherwise(0)).otherwise(F.when(good, 2).when(potential, 1).otherwise(0))
-
-
 def query_metrics(ranked: DataFrame, by: tuple[str, ...] = ("pool_variant", "query_id"), recall_k: int = 10, precision_k: int = 5, ndcg_k: int = 10, places: int | None = None) -> DataFrame:
-    """by, definition, recall, precision, ndcg of every query that has a relevant candidate; rounded only if asked for, never before a mean."""
-    each = ranked.select(*by, "doc_id", "relevance", "rn", F.explode(F.array(F.lit("strict"), F.lit("graded"))).alias("definition"))
-    each = each.withColumn("gain", _gain(F.col("definition"))).withColumn("rel", (F.col("gain") > 0).cast("int"))
-    best = W.partitionBy(*by, "definition").orderBy(F.desc("gain"), "doc_id")
-    each = each.withColumn("ideal", F.row_number().over(best))
+    """by, definition, recall, precision, ndcg of every query that has a relevant candidate; rounded only if asked for, never before a mean.
+
+    nDCG has graded gains (2, 1, 0) under either definition, which then only says which queries count.
+    """
+    good, potential = F.col("relevance") == "good", F.col("relevance") == "potential"
+    each = ranked.select(*by, "doc_id", "rn", F.when(good, 2).when(potential, 1).otherwise(0).alias("gain"))
+    each = each.withColumn("ideal", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("gain"), "doc_id")))
+    each = each.select("*", F.explode(F.array(F.lit("strict"), F.lit("graded"))).alias("definition"))
+    each = each.withColumn("rel", F.when(F.col("definition") == "strict", F.col("gain") == 2).otherwise(F.col("gain") > 0).cast("int"))
     found = each.groupBy(*by, "definition").agg(
         F.sum("rel").alias("_r"),
         F.sum(F.col("rel") * (F.col("rn") <= recall_k).cast("int")).alias("_hit"),
@@ -59,32 +58,66 @@ def grid(metrics: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return long.groupBy(*by, "definition", "metric").agg(F.round(F.avg("value"), 5).alias("value"), F.count("*").alias("n_queries"))
 
 
-def bootstrap(values: DataFrame, by: tuple[str, ...], draws: int = 10_000, seed: int = 0, places: int = 5) -> DataFrame:
-    """by, mean, ci_low, ci_high: percentile interval of the mean over resampled rows.
+#: Draws that one row of a resampling makes.
+_DRAWS_EACH = 50
+
+
+def resampled(values: DataFrame, by: list[str], unit: str, value: str, draws: int, seed: int) -> DataFrame:
+    """by, _d, _v (a draw's resampled values): draw d of place i takes the value whose number, in order of unit, is a hash of both.
 
-    values: by, unit, value. Draw d of place i takes the unit whose number is a hash of both, so the draws are the
-    same anywhere; rows are draws times units of a group, which the metrics bound to the number of queries.
+    A group's values travel as one array, one for each query or judged pair, and groups times draws are dealt over all tasks.
     """
-    spec = W.partitionBy(*by)
-    ranked = values.withColumn("_i", F.row_number().over(spec.orderBy("unit")) - 1).withColumn("_n", F.count("*").over(spec))
-    drawn = ranked.select(*by, F.col("_i").alias("_place"), "_n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_d"))
-    at = order.hash_int(8, seed, F.col("_d"), F.col("_place")).cast("long") % F.col("_n")
-    picked = drawn.withColumn("_i", at.cast("int")).join(ranked.select(*by, "_i", "value"), [*by, "_i"])
-    means = picked.groupBy(*by, "_d").agg(F.avg("value").alias("m"))
-    ci = means.groupBy(*by).agg(F.round(F.percentile("m", F.lit(0.025)), places).alias("ci_low"), F.round(F.percentile("m", F.lit(0.975)), places).alias("ci_high"))
-    return values.groupBy(*by).agg(F.round(F.avg("value"), places).alias("mean"), F.count("*").alias("n")).join(ci, list(by))
+    rows = values.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(unit).alias("u"), F.col(value).alias("v")))).alias("_a"))
+    parts = rows.select(*by, F.transform("_a", lambda x: x["v"]).alias("_a"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(_DRAWS_EACH))).alias("_from"))
+    parts = parts.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "_from")
+    each = parts.select(*by, "_a", F.explode(F.sequence("_from", F.least(F.col("_from") + _DRAWS_EACH, F.lit(draws)) - 1)).alias("_d"))
+    number = lambda i: (F.conv(F.substring(order.digest(seed, F.col("_d"), i), 1, 8), 16, 10).cast("long") % F.size("_a")).cast("int")
+    drawn = F.transform(F.sequence(F.lit(0), F.size("_a") - 1), lambda i: F.get("_a", number(i)))
+    return each.select(*by, "_d", text.once(drawn).alias("_v"))
 
 
-def exposure(ranked: DataFrame, k: int, by: tuple[str, ...]) -> DataFrame:
-    """What fills the first k places: counts of the four classes, all slots, and the distractors' mean share."""
+def interval(drawn: DataFrame, by: list[str], value: str, places: int) -> DataFrame:
+    """by, ci_low, ci_high: the middle 95 % of a value over draws."""
+    low, high = (F.round(F.percentile(value, F.lit(p)), places) for p in (0.025, 0.975))
+    return drawn.groupBy(*by).agg(low.alias("ci_low"), high.alias("ci_high"))
+
+
+def bootstrap(values: DataFrame, by: tuple[str, ...], draws: int = 10_000, seed: int = 0, places: int = 5) -> DataFrame:
+    """by, mean, n, ci_low, ci_high: percentile interval of the mean over resampled rows. values: by, unit, value."""
+    by = list(by)
+    means = resampled(values, by, "unit", "value", draws, seed).select(*by, (F.aggregate("_v", F.lit(0.0), lambda s, x: s + x) / F.size("_v")).alias("m"))
+    return values.groupBy(*by).agg(F.round(F.avg("value"), places).alias("mean"), F.count("*").alias("n")).join(interval(means, by, "m", places), by)
+
+
+def figures(metrics: DataFrame, by: tuple[str, ...], draws: int = 10_000, seed: int = 0) -> DataFrame:
+    """by, definition, metric, value, n_queries, ci_low, ci_high: means over queries with their number and interval."""
+    long = metrics.unpivot([*by, "query_id", "definition"], ["recall", "precision", "ndcg"], "metric", "value").withColumnRenamed("query_id", "unit")
+    found = bootstrap(long, (*by, "definition", "metric"), draws, seed)
+    if found.filter("n = 0").limit(1).count():
+        raise GuardError("a figure needs at least one query")
+    return found.withColumnsRenamed({"mean": "value", "n": "n_queries"})
+
+
+def _slots(ranked: DataFrame, k: int, by: tuple[str, ...]) -> DataFrame:
     top = top_k(ranked, k)
-    each = top.groupBy(*by, "query_id").agg(
+    return top.groupBy(*by, "query_id").agg(
         F.count_if(F.col("relevance") == "good").alias(CLASSES[0]), F.count_if(F.col("relevance") != "none").alias(CLASSES[1]),
         F.count_if((F.col("relevance") == "none") & (F.col("source") == "labelled")).alias(CLASSES[2]), F.count_if(F.col("source") == "distractor").alias(CLASSES[3]),
     )
+
+
+def exposure(ranked: DataFrame, k: int, by: tuple[str, ...]) -> DataFrame:
+    """What fills the first k places: counts of the four classes, all slots, and the distractors' mean share."""
+    each = _slots(ranked, k, by)
     return each.groupBy(*by).agg(*(F.sum(c).alias(c) for c in CLASSES), (F.count("*") * k).alias("total_slots"), F.round(F.avg(F.col(CLASSES[3]) / k), 6).alias("distractor_share"))
 
 
+def exposure_interval(ranked: DataFrame, k: int, by: tuple[str, ...], draws: int = 10_000, seed: int = 0) -> DataFrame:
+    """by, mean, n, ci_low, ci_high of the distractors' share of the first k places over queries."""
+    share = _slots(ranked, k, by).select(*by, F.col("query_id").alias("unit"), (F.col(CLASSES[3]) / k).alias("value"))
+    return bootstrap(share, by, draws, seed)
+
+
 def attainable_share(figures: DataFrame, ceilings: DataFrame, on: list[str]) -> DataFrame:
     """figures with the share of the ceiling they reach."""
     return figures.join(ceilings, on).withColumn("share_of_ceiling", F.round(F.col("value") / F.col("ceiling"), 6))

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankloom.functions import order
-from rankloom.operators.guards import require_none
+from rankloom.operators import evaluation
+from rankloom.operators.guards import GuardError, require_none
 
 #: Pool variants and the depth each aims at; none: all.
 TARGETS = {"N20": 20, "N100": 100, "Nfull": None}
@@ -23,18 +24,25 @@ def build(judged: DataFrame, universe: DataFrame, seed: int, targets: dict[str,
 
     judged: query_id, doc_id, label; universe: doc_id. Judged candidates are in every variant, whatever its target;
     distractors are a prefix of one shuffle for each query, so that smaller pools are subsets of larger ones. The
-    universe of queries times documents is what the full variant asks for, so it is a cross join by definition; the
-    query side, a bounded query set, is the one broadcast.
+    universe of queries times documents is what the full variant asks for, so it is a cross join by definition; without
+    that variant each query's places are cut to the deepest target as they are drawn.
     """
     queries = judged.groupBy("query_id").agg(F.count("*").alias("_judged"))
-    candidates = universe.select("doc_id").crossJoin(F.broadcast(queries)).join(judged.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
-    ranked = candidates.withColumn("_r", F.row_number().over(W.partitionBy("query_id").orderBy(order.digest(seed, F.col("query_id"), F.col("doc_id")), "doc_id")))
+    candidates = universe.select("doc_id").crossJoin(queries).join(judged.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
     spark = judged.sparkSession
-    variants = F.broadcast(spark.createDataFrame(list(targets.items()), "pool_variant string, _target int"))
-    kept = ranked.crossJoin(variants).filter(F.col("_target").isNull() | (F.col("_r") <= F.col("_target") - F.col("_judged")))
-    distractors = kept.select("query_id", "doc_id", F.lit("none").alias("relevance"), F.lit("distractor").alias("source"), "pool_variant")
-    own = judged.select("query_id", "doc_id", relevance(F.col("label")).alias("relevance"), F.lit("labelled").alias("source")).crossJoin(variants.select("pool_variant"))
-    return own.unionByName(distractors)
+    bounded, full = {k: n for k, n in targets.items() if n is not None}, [(k,) for k, n in targets.items() if n is None]
+    columns = ("query_id", "doc_id", F.lit("none").alias("relevance"), F.lit("distractor").alias("source"), "pool_variant")
+    own = judged.select("query_id", "doc_id", relevance(F.col("label")).alias("relevance"), F.lit("labelled").alias("source"))
+    out = own.crossJoin(spark.createDataFrame([(k,) for k in targets], "pool_variant string"))  # a handful of variants
+    if bounded:
+        # The limit on places is applied before the shuffle too, so each query sends as many rows as the deepest bounded pool.
+        place = F.row_number().over(W.partitionBy("query_id").orderBy(order.digest(seed, F.col("query_id"), F.col("doc_id")), "doc_id"))
+        ranked = candidates.withColumn("_r", place).filter(F.col("_r") <= max(bounded.values()))
+        aims = spark.createDataFrame(list(bounded.items()), "pool_variant string, _target int")
+        out = out.unionByName(ranked.crossJoin(aims).filter(F.col("_r") <= F.col("_target") - F.col("_judged")).select(*columns))
+    if full:
+        out = out.unionByName(candidates.crossJoin(spark.createDataFrame(full, "pool_variant string")).select(*columns))
+    return out
 
 
 def with_texts(pools: DataFrame, queries: DataFrame, documents: DataFrame) -> DataFrame:
@@ -70,6 +78,16 @@ def attainability(pools: DataFrame, ks: tuple[int, ...] = (5, 10, 20, 50)) -> Da
     )
 
 
+def ceiling_interval(pools: DataFrame, metric: str, k: int, draws: int = 10_000, seed: int = 0) -> DataFrame:
+    """pool_variant, definition, mean, n, ci_low, ci_high of the best precision or recall that any ranking can reach. nDCG has no ceiling below 1 and is refused."""
+    if metric not in ("precision", "recall"):
+        raise GuardError(f"no ceiling for {metric}: an ideal from the same pool is 1 by definition" if metric == "ndcg" else f"unknown metric {metric}")
+    evaluation.require_depth(pools, k)
+    won = F.least(F.lit(k), F.col("r")) / (F.lit(k) if metric == "precision" else F.col("r"))
+    each = relevant_counts(pools).select("pool_variant", "definition", F.col("query_id").alias("unit"), won.alias("value"))
+    return evaluation.bootstrap(each, ("pool_variant", "definition"), draws, seed)
+
+
 def ceilings(pools: DataFrame, ks: tuple[int, ...] = (5, 10)) -> DataFrame:
     """Per variant, definition and k: best mean precision and recall, queries able to reach precision 1, slots that cannot be won."""
     each = relevant_counts(pools).select("*", F.explode(F.array(*map(F.lit, ks))).alias("k")).withColumn("won", F.least("k", "r"))

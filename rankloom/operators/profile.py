@@ -15,6 +15,26 @@ def frequencies(df: DataFrame, *by: str, top: int | None = None) -> DataFrame:
     return out if top is None else out.orderBy(F.desc("n"), *by).limit(top)
 
 
+def label_counts(df: DataFrame, by: str, label: str, labels: tuple[str, ...]) -> DataFrame:
+    """by, place, label, n: every label of a fixed order for every value of by, zeros kept."""
+    names = df.sparkSession.createDataFrame(list(enumerate(labels)), f"place int, {label} string")
+    every = df.select(by).distinct().crossJoin(F.broadcast(names))  # a handful of labels
+    return every.join(df.groupBy(by, label).agg(F.count("*").alias("n")), [by, label], "left").fillna(0, ["n"])
+
+
+def containing(df: DataFrame, column: str, literal: str) -> DataFrame:
+    """Rows whose text has a literal, taken as it stands."""
+    return df.filter(F.contains(F.col(column), F.lit(literal)))
+
+
+def distinct_matches(df: DataFrame, column: str, patterns: dict[str, str]) -> DataFrame:
+    """name, n: distinct matches of each pattern over all texts."""
+    found = F.array(*(F.struct(F.lit(k).alias("name"), F.regexp_extract_all(F.col(column), F.lit(p), 0).alias("m")) for k, p in patterns.items()))
+    each = df.select(F.explode(found).alias("f")).select("f.name", F.explode("f.m").alias("m")).groupBy("name").agg(F.count_distinct("m").alias("n"))
+    names = df.sparkSession.createDataFrame([(k,) for k in patterns], "name string")
+    return names.join(each, "name", "left").fillna(0, ["n"])
+
+
 def length_statistics(df: DataFrame, column: str, *by: str) -> DataFrame:
     """by, n, distinct texts, min, max, mean, whole median and linear quartiles of lengths."""
     n = F.length(column)
@@ -85,10 +105,17 @@ def aligned(one: DataFrame, two: DataFrame, key: str) -> DataFrame:
 
 
 def collection_digest(df: DataFrame, name: str) -> DataFrame:
-    """n and digest of the sorted names; for vocabularies of bounded size."""
+    """n and digest of the sorted names, for vocabularies: the one thing that has to be in one place is what is digested."""
     return df.agg(F.count("*").alias("n"), F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(name))), 256).alias("digest"))
 
 
+def collection_fingerprint(df: DataFrame, *columns: str) -> DataFrame:
+    """n and a digest of all rows in any order, for collections of any size: 128 bits of each row, combined by exclusive or, and their number."""
+    one, two = F.xxhash64(*columns), F.xxhash64(F.lit(1), *reversed(columns))
+    found = df.agg(F.count("*").alias("n"), F.bit_xor(one).alias("a"), F.bit_xor(two).alias("b"), F.sum(one.cast("decimal(38,0)")).alias("s"))
+    return found.select("n", F.sha2(F.concat_ws("|", "n", F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0)), F.coalesce("s", F.lit(0))), 256).alias("digest"))
+
+
 def weighted_coverage(df: DataFrame, known: Column, weight: str) -> DataFrame:
     return df.agg(F.round(F.sum(F.when(known, F.col(weight)).otherwise(0)) / F.sum(weight), 6).alias("coverage"))
 

@@ -1,8 +1,8 @@
 """Sampling candidates for annotation: quotas by family, spread over bands of a lexical ranking.
 
-Draws are hash orders. Where batches exclude what earlier queries took, every candidate is first given to one query
-(the smallest hash among those that may use it), so that queries draw apart from each other and in parallel: the
-guarantees of a sequential draw, with different picks.
+Draws are hash orders. Where queries exclude what others took, every candidate is first given to one query (of its own
+keyword before all others), so that queries draw apart from each other and in parallel, with other picks than a
+sequential draw has.
 """
 
 from __future__ import annotations
@@ -53,17 +53,22 @@ def owned(eligible: DataFrame, seed: int) -> DataFrame:
     return eligible.withColumn("_o", F.row_number().over(first)).filter("_o = 1").drop("_o")
 
 
-def quota_candidates(queries: DataFrame, docs: DataFrame, per_query: int, same_min: int, seed: int, chunk: int = 1) -> DataFrame:
+def quota_candidates(queries: DataFrame, docs: DataFrame, per_query: int, same_min: int, seed: int) -> DataFrame:
     """query_id, doc_id, keyword_match: per_query documents of each query, same_min of them of its own keyword if there are so many.
 
-    queries: query_id, keyword; docs: doc_id, keyword. A document is used by one query: each is owned by the query its
-    hash draws among all of them. Queries are a batch's bounded list and are broadcast.
+    queries: query_id, keyword; docs: doc_id, keyword. A document is used by one query: one of its own keyword if there
+    is any, drawn by its hash, else any. So all documents of a keyword go to the queries that ask for it, and the rest
+    are shared out among all.
     """
-    numbered = queries.withColumn("_q", F.row_number().over(W.orderBy(order.digest(seed, "seat", F.col("query_id")), "query_id")) - 1)
-    n = F.broadcast(queries.agg(F.count("*").alias("_n")))
-    given = docs.crossJoin(n).withColumn("_q", (order.hash_int(8, seed, "owner", F.col("doc_id")).cast("long") % F.col("_n")).cast("int")).drop("_n")
-    joined = given.withColumnRenamed("keyword", "_k").join(F.broadcast(numbered), "_q").withColumn("keyword_match", F.col("keyword") == F.col("_k"))
-    ranked = joined.withColumn("_r", F.row_number().over(W.partitionBy("query_id", "keyword_match").orderBy(order.digest(seed, F.col("query_id"), F.col("doc_id")), "doc_id")))
+    seat = lambda by: F.row_number().over(W.partitionBy(*by).orderBy(order.digest(seed, "seat", F.col("query_id")), "query_id")) - 1
+    seats = queries.select("query_id", "keyword", seat(["keyword"]).alias("_own"), seat([F.lit(0)]).alias("_any"))  # a batch's queries, a bounded list
+    sizes = queries.groupBy("keyword").agg(F.count("*").alias("_k"))
+    n = queries.agg(F.count("*").alias("_n"))
+    drawn = order.hash_int(8, seed, "owner", F.col("doc_id")).cast("long")
+    dealt = docs.select("doc_id", "keyword", drawn.alias("_h")).join(sizes, "keyword", "left").crossJoin(n).filter("_n > 0")
+    asked = dealt.filter("_k is not null").withColumn("_own", (F.col("_h") % F.col("_k")).cast("int")).join(seats, ["keyword", "_own"]).select("query_id", "doc_id", F.lit(True).alias("keyword_match"))
+    rest = dealt.filter("_k is null").withColumn("_any", (F.col("_h") % F.col("_n")).cast("int")).join(seats.drop("keyword", "_own"), "_any").select("query_id", "doc_id", F.lit(False).alias("keyword_match"))
+    ranked = asked.unionByName(rest).withColumn("_r", F.row_number().over(W.partitionBy("query_id", "keyword_match").orderBy(order.digest(seed, F.col("query_id"), F.col("doc_id")), "doc_id"))).filter(F.col("_r") <= per_query)
     took = F.least(F.lit(same_min), F.coalesce(F.max(F.when(F.col("keyword_match"), F.col("_r"))).over(W.partitionBy("query_id")), F.lit(0)))
     quota = F.when(F.col("keyword_match"), took).otherwise(per_query - took)
     return ranked.withColumn("_quota", quota).filter(F.col("_r") <= F.col("_quota")).select("query_id", "doc_id", "keyword_match")
@@ -74,3 +79,11 @@ def batch_summary(picks: DataFrame, per_query: int) -> DataFrame:
     per = picks.groupBy("batch", "query_id").agg(F.count("*").alias("n"))
     short = per.groupBy("batch").agg(F.count("*").alias("queries"), F.count_if(F.col("n") < per_query).alias("short_queries"))
     return picks.groupBy("batch").agg(F.count("*").alias("pairs"), F.count_distinct("doc_id").alias("documents"), F.round(F.avg(F.col("keyword_match").cast("double")), 6).alias("match_rate")).join(short, "batch")
+
+
+def stratum_summary(picks: DataFrame, per_query: int, same_min: int) -> DataFrame:
+    """stratum, batches, pairs, queries, documents, missing (pairs below their number), short_same (queries below same_min), match_rate."""
+    match = F.col("keyword_match").cast("int")
+    per = picks.groupBy("stratum", "batch", "query_id").agg(F.count("*").alias("n"), F.sum(match).alias("m"))
+    own = per.groupBy("stratum").agg(F.count_distinct("batch").alias("batches"), F.count("*").alias("queries"), F.sum(F.lit(per_query) - F.col("n")).alias("missing"), F.count_if(F.col("m") < same_min).alias("short_same"))
+    return picks.groupBy("stratum").agg(F.count("*").alias("pairs"), F.count_distinct("doc_id").alias("documents"), F.round(F.avg(match), 6).alias("match_rate")).join(own, "stratum")

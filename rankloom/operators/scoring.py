@@ -1,7 +1,7 @@
 """Relational TF-IDF and BM25: fits are aggregates over exploded terms, scores are term joins.
 
-Term tables are cut to the terms that can matter before pairs are formed, and every distinct document is tokenised
-once, whatever the number of its pairs.
+Documents are tokenised once, into a term table in the shared folder that statistics and scores are read from. Term
+tables are cut to the terms that can matter before pairs are formed.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rankloom import shared
 from rankloom.functions import order, text
 
 K1, B = 1.5, 0.75
@@ -39,32 +40,40 @@ def terms(docs: DataFrame, ident: str, ngrams: int = 1, stop_words: tuple[str, .
     return words.select(ident, F.explode("_w").alias("term")).groupBy(ident, "term").agg(F.count("*").alias("tf"))
 
 
-def bm25_statistics(docs: DataFrame, ident: str) -> tuple[DataFrame, DataFrame]:
+def term_table(docs: DataFrame, ident: str) -> DataFrame:
+    """ident, size (tokens of the document), term, tf, written once: all that BM25 needs of the documents."""
+    words = docs.select(ident, text.once(text.tokens(F.col("text"))).alias("_w")).select(ident, F.size("_w").alias("size"), F.explode("_w").alias("term"))
+    return shared.kept(words.groupBy(ident, "size", "term").agg(F.count("*").alias("tf")), "terms")
+
+
+def bm25_statistics(docs: DataFrame, ident: str, table: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(term, df, idf) and one row (n, avgdl) of distinct documents; negative idf becomes a quarter of the mean."""
-    found = terms(docs, ident)
+    found = term_table(docs, ident) if table is None else table
     size = docs.select(F.count("*").alias("n")).crossJoin(F.broadcast(found.agg(F.sum("tf").alias("_t")))).select("n", (F.col("_t") / F.col("n")).alias("avgdl"))
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    df = shared.kept(found.groupBy("term").agg(F.count("*").alias("df")), "document_counts")
     raw = df.crossJoin(F.broadcast(size)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("_mean"))  # one row
     idf = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, 0.25 * F.col("_mean")).otherwise(F.col("raw")).alias("idf"))
     return idf, size
 
 
-def bm25(pairs: DataFrame, queries: DataFrame, docs: DataFrame, fit_on: DataFrame | None = None) -> DataFrame:
+def bm25(pairs: DataFrame, queries: DataFrame, docs: DataFrame, fit_on: DataFrame | None = None, dense: bool = False) -> DataFrame:
     """query_id, doc_id, score of every pair; queries and docs: id and text; repeats of a query term count.
 
-    Statistics come from fit_on (docs by default), so a document outside of it can be scored.
+    Statistics come from fit_on (docs by default), so a document outside of it can be scored. dense says that pairs
+    are most of all: terms then meet first and pairs are picked from the scores, instead of terms being sought for
+    each pair.
     """
-    idf, size = bm25_statistics(docs if fit_on is None else fit_on, "doc_id")
+    table = term_table(docs, "doc_id")
+    idf, size = bm25_statistics(docs, "doc_id", table) if fit_on is None else bm25_statistics(fit_on, "doc_id")
     wanted = pairs.select("query_id", "doc_id").distinct()
     q = terms(queries.join(wanted.select("query_id").distinct(), "query_id", "left_semi"), "query_id").withColumnRenamed("tf", "qtf").join(idf.select("term", "idf"), "term")
-    own = terms(docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")
-    length = own.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    d = own.join(q.select("term").distinct(), "term", "left_semi").join(length, "doc_id")
-    weight = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    q = shared.kept(q, "query_terms")
+    d = table.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").join(q.select("term").distinct(), "term", "left_semi")
+    weight = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("avgdl")))
     # Pairs carry the query's few terms to the document's, never all terms of both.
-    joined = wanted.join(q, "query_id").join(d, ["doc_id", "term"]).crossJoin(F.broadcast(size))
-    scores = joined.groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
+    joined = q.join(d, "term") if dense else wanted.join(q, "query_id").join(d, ["doc_id", "term"])
+    scores = joined.crossJoin(F.broadcast(size)).groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
     return wanted.join(scores, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
 
 
@@ -84,13 +93,15 @@ def tfidf_weights(docs: DataFrame, ident: str, vocabulary: DataFrame, ngrams: in
     return raw.select(ident, "term", (F.col("w") / norm).alias("w"))
 
 
-def tfidf_cosine(pairs: DataFrame, queries: DataFrame, docs: DataFrame, vocabulary: DataFrame, ngrams: int = 2, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    """query_id, doc_id, score: the dot product of unit vectors, 0 if either is empty."""
+def tfidf_cosine(pairs: DataFrame, queries: DataFrame, docs: DataFrame, vocabulary: DataFrame, ngrams: int = 2, stop_words: tuple[str, ...] = STOP_WORDS, dense: bool = False) -> DataFrame:
+    """query_id, doc_id, score: the dot product of unit vectors, 0 if either is empty; dense as for bm25."""
     wanted = pairs.select("query_id", "doc_id").distinct()
-    q = tfidf_weights(queries, "query_id", vocabulary, ngrams, stop_words).withColumnRenamed("w", "qw")
+    vocabulary = shared.kept(vocabulary.select("term", "idf"), "vocabulary")
+    q = shared.kept(tfidf_weights(queries, "query_id", vocabulary, ngrams, stop_words).withColumnRenamed("w", "qw"), "query_weights")
     d = tfidf_weights(docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", vocabulary, ngrams, stop_words)
     d = d.join(q.select("term").distinct(), "term", "left_semi")
-    scores = wanted.join(q, "query_id").join(d, ["doc_id", "term"]).groupBy("query_id", "doc_id").agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
+    joined = q.join(d, "term") if dense else wanted.join(q, "query_id").join(d, ["doc_id", "term"])
+    scores = joined.groupBy("query_id", "doc_id").agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
     return wanted.join(scores, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankloom.functions import order
@@ -23,8 +22,7 @@ def resolve(pairs: DataFrame, left: str, right: str) -> DataFrame:
 
 def assign(ids: DataFrame, ident: str, test: float, val: float, seed: int, salt: str) -> DataFrame:
     """ident, split: the first round(test * n) of the shuffle are test, the next val, the rest train."""
-    total = W.partitionBy(F.lit(0))
-    ranked = ids.select(ident).distinct().withColumn("_n", F.count("*").over(total)).withColumn("_r", order.draw_rank(seed, salt, F.col(ident)))
+    ranked = order.drawn(ids.select(ident).distinct(), seed, salt, ident, "_r", "_n")
     n_test, n_val = F.bround(F.col("_n") * F.lit(test)), F.bround(F.col("_n") * F.lit(val))
     split = F.when(F.col("_r") <= n_test, "test").when(F.col("_r") <= n_test + n_val, "val").otherwise("train")
     return ranked.select(ident, split.alias("split"))
@@ -52,7 +50,7 @@ def folds(pairs: DataFrame, left: str, right: str, k: int, seed: int) -> DataFra
 
     def buckets(column: str) -> DataFrame:
         ids = pairs.select(column).distinct()
-        return ids.withColumn(f"_{column}", (order.draw_rank(seed, f"fold-{column}", F.col(column)) - 1) % k)
+        return order.drawn(ids, seed, f"fold-{column}", column).select(column, ((F.col("_r") - 1) % k).alias(f"_{column}"))
 
     dealt = pairs.join(buckets(left), left).join(buckets(right), right)
     each = dealt.select(F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold"), F.col(f"_{left}").alias("a"), F.col(f"_{right}").alias("b"))
@@ -63,12 +61,12 @@ def folds(pairs: DataFrame, left: str, right: str, k: int, seed: int) -> DataFra
 def survey(pairs: DataFrame, left: str, right: str, fractions: list[float], seeds: list[int]) -> DataFrame:
     """fraction, mean, least and most test pairs over seeds: one plan over the grid of fractions and seeds."""
     spark = pairs.sparkSession
-    grid = spark.createDataFrame([(f, s) for f in fractions for s in seeds], "fraction double, seed int")  # a handful of rows
+    drawings, shares = spark.createDataFrame([(s,) for s in seeds], "seed int"), spark.createDataFrame([(f,) for f in fractions], "fraction double")  # a handful of rows
+    grid = shares.crossJoin(drawings)
 
     def side(column: str) -> DataFrame:
-        ids = pairs.select(column).distinct().crossJoin(F.broadcast(grid))
-        w = W.partitionBy("fraction", "seed")
-        ranked = ids.withColumn("_n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy(order.digest(F.col("seed"), f"survey-{column}", F.col(column)), column)))
+        ids = pairs.select(column).distinct().crossJoin(F.broadcast(drawings))
+        ranked = order.drawn(ids, F.col("seed"), f"survey-{column}", column, "_r", "_n", ["seed"]).crossJoin(F.broadcast(shares))
         return ranked.filter(F.col("_r") <= F.bround(F.col("_n") * F.col("fraction"))).select("fraction", "seed", column)
 
     found = pairs.join(side(left), left).join(side(right), [right, "fraction", "seed"]).groupBy("fraction", "seed").agg(F.count("*").alias("n"))
@@ -76,6 +74,22 @@ def survey(pairs: DataFrame, left: str, right: str, fractions: list[float], seed
     return every.groupBy("fraction").agg(F.round(F.avg("n"), 6).alias("mean_pairs"), F.min("n").alias("min_pairs"), F.max("n").alias("max_pairs"))
 
 
+def side_survey(pairs: DataFrame, left: str, right: str, fraction: float, seeds: list[int]) -> DataFrame:
+    """seed, both, left_only, right_only, neither: how the pairs fall if each side's first fraction is held out."""
+    spark = pairs.sparkSession
+    drawings = spark.createDataFrame([(s,) for s in seeds], "seed int")  # a handful of rows
+
+    def side(column: str) -> DataFrame:
+        ids = pairs.select(column).distinct().crossJoin(F.broadcast(drawings))
+        ranked = order.drawn(ids, F.col("seed"), f"survey-{column}", column, "_r", "_n", ["seed"])
+        return ranked.select("seed", column, (F.col("_r") <= F.bround(F.col("_n") * F.lit(fraction))).alias(f"_{column}"))
+
+    a, b = F.col(f"_{left}"), F.col(f"_{right}")
+    return pairs.join(side(left), left).join(side(right), [right, "seed"]).groupBy("seed").agg(
+        F.count_if(a & b).alias("both"), F.count_if(a & ~b).alias("left_only"), F.count_if(~a & b).alias("right_only"), F.count_if(~a & ~b).alias("neither")
+    )
+
+
 def regions(ids: DataFrame, ident: str, fraction: float, seed: int, salt: str) -> DataFrame:
     """ident, region: the first round(fraction * n) of a side's own shuffle are eval, the rest train."""
     out = assign(ids, ident, fraction, 0.0, seed, salt)
@@ -94,6 +108,8 @@ def shortlist(queries: DataFrame, documents: DataFrame, cells: list[str], per_qu
 
 def nested_sample(df: DataFrame, ident: str, n: int, seed: int, salt: str, by: list | None = None) -> DataFrame:
     """The first n of each group's shuffle: a larger n keeps every row of a smaller one."""
+    if not by:
+        return df.orderBy(order.digest(seed, salt, F.col(ident)), ident).limit(n)
     return df.withColumn("_r", order.draw_rank(seed, salt, F.col(ident), by)).filter(F.col("_r") <= n).drop("_r")
 
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankloom import shared
 from rankloom.functions import order
-from rankloom.operators import annotation, checks, diff, pools, profile, sampling, splits
+from rankloom.operators import annotation, diff, profile, sampling, splits
 from rankloom.plans import relations as R
 from rankloom.plans.catalog import query
-from rankloom.plans.retrieval import SQL_POOLS
+from rankloom.streaming import log as streaming
 
 _REGION = "SELECT doc_id, CASE WHEN r <= round_even(n * 0.25, 0) THEN 'eval' ELSE 'train' END AS region FROM (SELECT c_custkey AS doc_id, count(*) OVER () AS n, row_number() OVER (ORDER BY sha256('0|cv|' || c_custkey), c_custkey) AS r FROM customer)"
 SQL_REGIONS = f"{R.SQL_CELLS}, regions AS ({_REGION})"
@@ -61,10 +62,17 @@ def choose_queries(spark, d):
     return _chosen(spark, d)
 
 
-_QUOTA = f"""{_CHOSEN}, seats AS (SELECT *, row_number() OVER (ORDER BY sha256('0|seat|' || query_id), query_id) - 1 AS q FROM chosen),
-owned AS (SELECT s.query_id, cd.doc_id, s.keyword = cd.keyword AS keyword_match FROM cd JOIN seats s ON s.q = ('0x' || substr(sha256('0|owner|' || cd.doc_id), 1, 8))::UBIGINT % (SELECT count(*) FROM seats)),
-ranked_owned AS (SELECT *, row_number() OVER (PARTITION BY query_id, keyword_match ORDER BY sha256('0|' || query_id || '|' || doc_id), doc_id) AS r, least(4, count(*) FILTER (WHERE keyword_match) OVER (PARTITION BY query_id)) AS took FROM owned),
-picks AS (SELECT query_id, doc_id, keyword_match FROM ranked_owned WHERE r <= CASE WHEN keyword_match THEN took ELSE 5 - took END)"""
+def sql_quota(k: str, chosen: str, docs: str, per_query: int, same_min: int, seed: int) -> str:
+    """picks{k}: the quota draw of the queries of one relation from the documents of another."""
+    draw = f"('0x' || substr(sha256('{seed}|owner|' || x.doc_id), 1, 8))::UBIGINT"
+    return f"""seats{k} AS (SELECT query_id, keyword, row_number() OVER (PARTITION BY keyword ORDER BY sha256('{seed}|seat|' || query_id), query_id) - 1 AS own, row_number() OVER (ORDER BY sha256('{seed}|seat|' || query_id), query_id) - 1 AS q, count(*) OVER (PARTITION BY keyword) AS kn, count(*) OVER () AS n FROM {chosen}),
+owned{k} AS (SELECT s.query_id, x.doc_id, true AS keyword_match FROM {docs} x JOIN seats{k} s ON s.keyword = x.keyword AND s.own = {draw} % s.kn
+  UNION ALL SELECT s.query_id, x.doc_id, false FROM {docs} x JOIN seats{k} s ON s.q = {draw} % s.n WHERE x.keyword NOT IN (SELECT keyword FROM seats{k})),
+ranked{k} AS (SELECT *, row_number() OVER (PARTITION BY query_id, keyword_match ORDER BY sha256('{seed}|' || query_id || '|' || doc_id), doc_id) AS r, least({same_min}, count(*) FILTER (WHERE keyword_match) OVER (PARTITION BY query_id)) AS took FROM owned{k}),
+picks{k} AS (SELECT query_id, doc_id, keyword_match FROM ranked{k} WHERE r <= CASE WHEN keyword_match THEN took ELSE {per_query} - took END)"""
+
+
+_QUOTA = f"{_CHOSEN}, {sql_quota('', 'chosen', 'cd', 5, 4, R.SEED)}"
 
 
 def _picks(spark, d) -> DataFrame:
@@ -83,15 +91,13 @@ def batch_summary(spark, d):
     return sampling.batch_summary(_picks(spark, d).withColumn("batch", F.col("query_id") % 2 + 1), 5)
 
 
-_SCORED = "scored AS (SELECT s_suppkey AS query_id, c_custkey AS doc_id, round(('0x' || substr(sha256('3|' || s_suppkey || '|' || c_custkey), 1, 8))::UBIGINT / 4294967296.0::DOUBLE, 6) AS score FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE s_suppkey <= 10)"
+_SCORED = "scored AS (SELECT s_suppkey AS query_id, c_custkey AS doc_id, round(('0x' || substr(sha256('3|' || s_suppkey || '|' || c_custkey), 1, 8))::UBIGINT / 4294967296.0::DOUBLE, 6) AS score FROM supplier JOIN customer ON s_nationkey = c_nationkey)"
 
 
-def _scored(spark, d, whole: bool = False) -> DataFrame:
+def _scored(spark, d) -> DataFrame:
     from rankloom.operators.scoring import random_scores
 
     q, c = R.cell_queries(spark, d), R.cell_documents(spark, d)
-    if not whole:
-        q = q.filter("query_id <= 10")
     return random_scores(q.select("query_id", "keyword").join(c.select("doc_id", "keyword"), "keyword"), 3)
 
 
@@ -102,15 +108,10 @@ o AS (SELECT query_id, slot, row_number() OVER (PARTITION BY query_id ORDER BY s
 l AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sha256('0|' || query_id || '|' || doc_id), doc_id) AS k FROM b ANTI JOIN f ON f.query_id = b.query_id AND f.doc_id = b.doc_id)
 SELECT * FROM f UNION ALL SELECT o.query_id, l.doc_id, l.score, l.band, o.slot FROM o JOIN l ON o.query_id = l.query_id AND o.k = l.k""")
 def banded_pick(spark, d):
+    """Banded picks of every query."""
     return sampling.banded_pick(_scored(spark, d), 5, R.SEED)
 
 
-@query("banded_pick_whole")
-def banded_pick_whole(spark, d):
-    """Banded picks of every query; banded_pick has the first ten."""
-    return sampling.banded_pick(_scored(spark, d, whole=True), 5, R.SEED)
-
-
 @query("stratified_recheck", f"WITH {R.SQL_PAIRS} SELECT query_id, doc_id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sha256('0|quota|' || query_id || '__' || doc_id), query_id || '__' || doc_id) AS r FROM pairs) WHERE r <= CASE label WHEN 'No Fit' THEN 40 ELSE 30 END")
 def stratified_recheck(spark, d):
     p = R.pairs(spark, d).withColumn("pair_id", F.concat_ws("__", "query_id", "doc_id"))
@@ -141,7 +142,7 @@ _SEAT = "CAST(('0x' || substr(sha256('0|ann|' || query_id), 1, 12))::UBIGINT AS
 
 @query("serve_order", f"WITH {_OWED} SELECT pair_id, CAST(dense_rank() OVER (ORDER BY {_SEAT}, query_id) AS INTEGER) AS seat, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CAST(('0x' || substr(sha256('0|' || query_id || '|' || doc_id), 1, 12))::UBIGINT AS BIGINT), doc_id) AS INTEGER) AS place FROM owed")
 def serve_order(spark, d):
-    return annotation.serving_order(_owed(spark, d), "ann", 0).select("pair_id", "seat", "place")
+    return annotation.serving_order(_owed(spark, d), "ann", 0).select("pair_id", F.col("seat").cast("int").alias("seat"), "place")
 
 
 @query("serve_group", f"WITH {_OWED}, f AS (SELECT query_id FROM owed ORDER BY {_SEAT}, query_id LIMIT 1) SELECT o.pair_id, (SELECT count(*) FROM owed x JOIN f USING (query_id)) = (SELECT count(*) FROM units x JOIN f USING (query_id)) AS complete FROM owed o JOIN f USING (query_id)")
@@ -177,7 +178,7 @@ def _queue(spark, d) -> DataFrame:
 
 @query("queue_build", f"WITH {_QUEUE} SELECT 'q_' || substr(sha256('a1|' || query_id || '|' || doc_id), 1, 12) AS queue_id, 'a1' AS corpus, query_id, doc_id, 'recheck' AS selection_reason, CAST(row_number() OVER (ORDER BY sha256('0|' || n || '|' || pair_id), pair_id) - 1 AS INTEGER) AS position FROM rest")
 def queue_build(spark, d):
-    return annotation.projections(_queue(spark, d))["key"]
+    return annotation.projections(_queue(spark, d))["key"].withColumn("position", F.col("position").cast("int"))
 
 
 @query("queue_dispatch")
@@ -237,71 +238,38 @@ def section_filter(spark, d):
     return annotation.kept_sections(R.table(spark, d, "benchmark").select(F.col("item_id").alias("guide_id"), guide.alias("text")), ("How to run",))
 
 
-# --- integrity -------------------------------------------------------------
-
-
-def _passes(names: list[str]) -> str:
-    return " UNION ALL ".join(f"SELECT '{n}' AS check, true AS ok, CAST(0 AS BIGINT) AS n_violations" for n in names).replace(" AS check", ' AS "check"')
-
-
-@query("check_split", _passes(["split: every id resolves", "split: every document is assigned", "split: no document in two splits", "split: pairs follow their documents", "split: rebuild equals"]))
-def check_split(spark, d):
-    universe = R.table(spark, d, "labels").select("doc_id").distinct()
-    return checks.union(checks.split_checks(R.doc_split(spark, d), universe, R.split_pairs(spark, d), R.doc_split(spark, d)))
-
-
-@query("check_split_seeded", 'SELECT \'split: no document in two splits\' AS "check", false AS ok, (SELECT count(DISTINCT doc_id) FROM labels WHERE doc_id % 10 = 0) AS n_violations')
-def check_split_seeded(spark, d):
-    """A seeded violation must be found: every tenth document is assigned twice."""
-    good = R.doc_split(spark, d)
-    bad = good.unionByName(good.filter("doc_id % 10 = 0").withColumn("split", F.lit("other")))
-    return checks.split_checks(bad, good.select("doc_id"), R.split_pairs(spark, d), good)[2]
-
+def _golden(spark):
+    expected = {"a": 1, "b": {"c": 0.5, "d": 0.25, "e": "x"}, "l": [1, 2, 3], "t": True, "environment": {"version": "1"}}
+    actual = {"a": 1, "b": {"c": 0.5001, "d": 0.25 + 1e-15}, "l": [1, 2], "t": 1, "f": None, "environment": {"version": "2"}}
+    return diff.flatten(spark, expected), diff.flatten(spark, actual)
 
-@query("check_pools", _passes(["pools: no distractor is judged", "pools: candidates come from the universe", "pools: every judged pair is there", "pools: depth", "pools: no candidate twice", "pools: N20 is within N100", "pools: N100 is within Nfull"]))
-def check_pools(spark, d):
-    universe = R.doc_split(spark, d).filter("split = 'test'").select("doc_id")
-    judged = R.test_pairs(spark, d)
-    return checks.union(checks.pool_checks(pools.build(judged, universe, R.SEED), judged.select("query_id", "doc_id"), universe, pools.TARGETS))
 
-
-@query("check_regions", _passes(["regions: one for each document", "regions: determinism", "shortlist: train region only", "shortlist: unique pairs"]))
-def check_regions(spark, d):
-    return checks.union(checks.region_checks(_regions(spark, d), _regions(spark, d), _shortlist(spark, d)))
-
-
-@query("check_queue", _passes(["queue: unique ids", "queue: one dispatch for each pair", "queue: nothing judged is dispatched", "queue: no residual personal data", "queue: ids recompute"]))
-def check_queue(spark, d):
-    done = R.test_pairs(spark, d).filter("doc_id % 3 = 0").select(F.concat_ws("__", "query_id", "doc_id").alias("pair_id"))
-    return checks.union(checks.queue_checks(_queue(spark, d), done))
-
-
-@query("check_labels", _passes(["labels: in the scheme", "labels: no annotator twice on a pair", "labels: known pairs", "labels: batch has not drifted"]))
-def check_labels(spark, d):
-    return checks.union(checks.label_checks(R.judgements(spark, d), R.units(spark, d)))
-
-
-@query("check_machine", _passes(["machine: one draw for each run", "machine: prompt digests", "machine: no machine rows in the human log", "machine: no prompt twice"]))
-def check_machine(spark, d):
-    return checks.union(checks.machine_checks(_prompts(spark, d), R.judgements(spark, d)))
+@query("golden_diff", "SELECT * FROM (VALUES ('b.c', 'differs'), ('b.e', 'missing'), ('environment.version', 'differs'), ('f', 'unexpected'), ('l.length', 'differs'), ('l[2]', 'missing'), ('t', 'differs')) AS v(path, problem)")
+def golden_diff(spark, d):
+    """Two literal records: the operator compares documents, not tables."""
+    return diff.differences(*_golden(spark))
 
 
-@query("golden_diff", "SELECT * FROM (VALUES ('b.c', 'differs'), ('b.e', 'missing'), ('f', 'unexpected'), ('l.length', 'differs'), ('l[2]', 'missing'), ('t', 'differs')) AS v(path, problem)")
-def golden_diff(spark, d):
-    expected = {"a": 1, "b": {"c": 0.5, "d": 0.25, "e": "x"}, "l": [1, 2, 3], "t": True}
-    actual = {"a": 1, "b": {"c": 0.5001, "d": 0.25 + 1e-15}, "l": [1, 2], "t": 1, "f": None}
-    return diff.differences(diff.flatten(spark, expected), diff.flatten(spark, actual))
+@query("golden_groups", "SELECT * FROM (VALUES ('a', CAST(1 AS BIGINT), CAST(0 AS BIGINT), true), ('b', 3, 2, false), ('environment', 1, 1, true), ('f', 0, 1, false), ('l', 4, 2, false), ('t', 1, 1, false)) AS v(\"group\", paths, problems, ok)")
+def golden_groups(spark, d):
+    expected, actual = _golden(spark)
+    return diff.by_group(diff.differences(expected, actual), expected)
 
 
 @query("stream_counts", f"WITH {R.SQL_JUDGEMENTS} SELECT label, count(DISTINCT pair_id || annotator) AS n FROM judgements GROUP BY 1")
 def stream_counts(spark, d):
-    from rankloom.streaming.log import counts
+    """The judgement log as files, read by a stream that ends when all are read; its table is what is returned."""
+    log = shared.new_path(spark, "judgements")
+    R.judgements(spark, d).select("pair_id", "annotator", "label").write.json(log)
+    sink = shared.new_path(spark, "counts")
+    streaming.run_progress(streaming.read_log(spark, log, "pair_id string, annotator string, label string"), sink, shared.new_path(spark, "stream")).awaitTermination()
+    return spark.read.schema("label string, n long").parquet(sink)
 
-    return counts(R.judgements(spark, d))
 
-
-@query("event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+@query("event_windows", "WITH m AS (SELECT max(ts) - INTERVAL 1 DAY AS late FROM events) SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events CROSS JOIN m WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= late GROUP BY 1, 2")
 def event_windows(spark, d):
-    from rankloom.streaming.log import windowed
-
-    return windowed(R.table(spark, d, "events"), "ts", "1 hour", "1 day").select(F.col("window.start").alias("start"), "event_type", "n")
+    """Windows that the watermark has closed once all events are read, counted by a stream."""
+    source = spark.readStream.schema(R.table(spark, d, "events").schema).parquet(f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    sink = shared.new_path(spark, "windows")
+    streaming.closed_windows(source, sink, shared.new_path(spark, "stream")).awaitTermination()
+    return spark.read.schema("start timestamp, event_type string, n long").parquet(sink).withColumn("start", F.col("start").cast("timestamp_ntz"))

@@ -8,6 +8,7 @@ from rankloom.functions import order, text
 from rankloom.operators import guards, overlap, profile
 from rankloom.plans import relations as R
 from rankloom.plans.catalog import query
+from rankloom.sources import readers
 
 _SPACE = r"[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
@@ -110,29 +111,34 @@ def exclusion_list(spark, d):
     return overlap.exclusions(_containment(spark, d))
 
 
-_HEADS = f"heads AS (SELECT doc_id AS ref_id, substr({_norm('text')}, 1, CASE WHEN doc_id % 20 = 0 THEN 40 ELSE 120 END) AS r FROM documents WHERE doc_id % 10 = 0)"
-
-
-@query("prefix_derivative", f"WITH {_HEADS}, n AS (SELECT doc_id, {_norm('text')} AS t FROM documents) SELECT doc_id, ref_id FROM n JOIN heads ON length(r) > 0 AND starts_with(t, r)")
+@query("prefix_derivative")
 def prefix_derivative(spark, d):
-    n = R.documents(spark, d).filter("doc_id % 10 = 0")
-    heads = n.select(F.col("doc_id").alias("ref_id"), F.substr(text.normalise(F.col("text")), F.lit(1), F.when(F.col("doc_id") % 20 == 0, 40).otherwise(120)).alias("text"))
-    return overlap.prefix_derivatives(R.documents(spark, d), heads)
-
-
-@query("prefix_derivative_whole")
-def prefix_derivative_whole(spark, d):
     """Derivatives of every distinct text, compared whole; a text's reference is its smallest doc_id, which is not its own derivative."""
     docs = R.documents(spark, d)
     refs = docs.groupBy(text.normalise(F.col("text")).alias("text")).agg(F.min("doc_id").alias("ref_id"))
     return overlap.prefix_derivatives(docs, refs).filter("doc_id <> ref_id")
 
 
-@query("probe_overlap", f"WITH p AS (SELECT item_id AS ref_id, substr({_norm('text')}, 11, 60) AS p FROM benchmark) SELECT ref_id, min(doc_id) AS doc_id FROM p JOIN documents ON length(p) >= 60 AND contains({_norm('text')}, p) GROUP BY 1")
+_PROBES = f"p AS (SELECT item_id AS ref_id, substr({_norm('text')}, 11, 60) AS p FROM benchmark), hits AS MATERIALIZED (SELECT DISTINCT ref_id, doc_id FROM p JOIN documents ON length(p) >= 60 AND contains({_norm('text')}, p))"
+
+
+@query("item_derivative", f"WITH n AS (SELECT doc_id, {_norm('text')} AS t FROM documents), r AS (SELECT item_id AS ref_id, {_norm('text')} AS r FROM benchmark) SELECT count(*) AS n, any_value(k) AS n_derivative, round(any_value(k) / CAST(count(*) AS DOUBLE), 6) AS share FROM n CROSS JOIN (SELECT count(DISTINCT doc_id) AS k FROM n JOIN r ON length(r) > 0 AND starts_with(t, r))")
+def item_derivative(spark, d):
+    docs = R.documents(spark, d)
+    return overlap.derivative_share(docs, overlap.prefix_derivatives(docs, _refs(spark, d)))
+
+
+@query("probe_overlap", f"WITH {_PROBES} SELECT ref_id, min(doc_id) AS doc_id FROM hits GROUP BY 1")
 def probe_overlap(spark, d):
     return overlap.probes(_refs(spark, d), R.documents(spark, d), 11, 60)
 
 
+@query("probe_once")
+def probe_once(spark, d):
+    """Each item and each document used once, items in order of id."""
+    return overlap.probes_once(_refs(spark, d), R.documents(spark, d), 11, 60)
+
+
 @query("leakage", f"SELECT count(*) AS n_shared FROM (SELECT {_norm('text')} AS t FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT {_norm('text')} FROM documents WHERE doc_id % 2 = 1)")
 def leakage(spark, d):
     docs = R.documents(spark, d)
@@ -173,7 +179,7 @@ def tag_counter(spark, d):
     return profile.tag_counts(R.table(spark, d, "benchmark").select(tags.alias("tags")), "tags")
 
 
-@query("span_offsets", """WITH s AS (SELECT lang AS label, substr(text, 1, 1000) AS c, substr(text, 6, 10) AS t, CASE WHEN doc_id % 7 = 0 THEN 6 ELSE 5 END AS a, CASE WHEN doc_id % 7 = 0 THEN 15 ELSE 14 END AS b FROM documents WHERE length(text) >= 40)
+@query("span_offsets", """WITH s AS (SELECT lang AS label, text AS c, substr(text, 6, 10) AS t, CASE WHEN doc_id % 7 = 0 THEN 6 ELSE 5 END AS a, CASE WHEN doc_id % 7 = 0 THEN 15 ELSE 14 END AS b FROM documents WHERE length(text) >= 40)
 SELECT label, count(*) AS n, count(*) FILTER (WHERE regexp_replace(substr(c, a + 1, b - a + 1), '^\\s+|\\s+$', '', 'g') <> regexp_replace(t, '^\\s+|\\s+$', '', 'g')) AS n_broken FROM s GROUP BY 1""".replace("\\\\", "\\"))
 def span_offsets(spark, d):
     """Spans cut from the texts themselves, every seventh shifted by one."""
@@ -189,12 +195,12 @@ def skill_freq(spark, d):
     return profile.list_frequencies(R.table(spark, d, "events").select(cell.alias("cell")), "cell", 8)
 
 
-@query("alias_coverage", """WITH v AS (SELECT DISTINCT lower(n_name) AS name FROM nation), w AS (SELECT DISTINCT unnest(string_split(name, ' ')) AS word FROM v), i AS (SELECT DISTINCT lower(p_name) AS item FROM part UNION SELECT lower(n_name) FROM nation WHERE n_nationkey < 10),
+@query("alias_coverage", """WITH v AS (SELECT DISTINCT lower(n_name) AS name FROM nation), w AS (SELECT DISTINCT unnest(string_split(name, ' ')) AS word FROM v), i AS (SELECT DISTINCT lower(p_name) AS item FROM part UNION SELECT lower(n_name) FROM nation),
 a AS (SELECT item, min(CASE WHEN w.word IS NULL THEN 0 ELSE 1 END) AS k FROM (SELECT item, unnest(string_split(item, ' ')) AS word FROM i) x LEFT JOIN w ON w.word = x.word GROUP BY 1)
 SELECT item, v.name IS NOT NULL AS exact, v.name IS NOT NULL OR k = 1 AS relaxed FROM a LEFT JOIN v ON v.name = a.item""")
 def alias_coverage(spark, d):
     nation = R.table(spark, d, "nation")
-    items = R.table(spark, d, "part").select(F.col("p_name").alias("item")).unionByName(nation.filter("n_nationkey < 10").select(F.col("n_name").alias("item")))
+    items = R.table(spark, d, "part").select(F.col("p_name").alias("item")).unionByName(nation.select(F.col("n_name").alias("item")))
     return profile.vocabulary_membership(items, nation.select(F.col("n_name").alias("name")))
 
 
@@ -224,9 +230,38 @@ def collection_digest(spark, d):
     return profile.collection_digest(R.table(spark, d, "nation"), "n_name")
 
 
-@query("distinct_matches", r"SELECT count(DISTINCT m) AS n_numbers FROM (SELECT unnest(regexp_extract_all(text, '[0-9]{7,}')) AS m FROM documents)")
+_MATCHES = {"email": "[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+[.][A-Za-z0-9_.-]+", "phone": "[+][0-9]{1,3}[ .-]?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}", "number": "[0-9]{7,}"}
+
+
+@query("distinct_matches", " UNION ALL ".join(f"SELECT '{k}' AS name, count(DISTINCT m) AS n FROM (SELECT unnest(regexp_extract_all(text, '{p}')) AS m FROM documents)" for k, p in _MATCHES.items()))
 def distinct_matches(spark, d):
-    return R.documents(spark, d).select(F.explode(F.regexp_extract_all("text", F.lit("[0-9]{7,}"), 0)).alias("m")).agg(F.count_distinct("m").alias("n_numbers"))
+    return profile.distinct_matches(R.documents(spark, d), "text", _MATCHES)
+
+
+@query("label_counts", """WITH names AS (SELECT * FROM (VALUES (0, 'Good Fit'), (1, 'Potential Fit'), (2, 'No Fit')) AS v(place, label)), x AS (SELECT source, CASE WHEN quality = 1 AND toxic = 0 THEN 'Good Fit' WHEN quality = 1 THEN 'Potential Fit' ELSE 'No Fit' END AS label FROM documents JOIN labels USING (doc_id))
+SELECT s.source, CAST(n.place AS INTEGER) AS place, n.label, count(x.label) AS n FROM (SELECT DISTINCT source FROM x) s CROSS JOIN names n LEFT JOIN x ON x.source IS NOT DISTINCT FROM s.source AND x.label = n.label GROUP BY ALL""")
+def label_counts(spark, d):
+    own = R.table(spark, d, "labels").select("doc_id", R.label(F.col("quality"), F.col("toxic")).alias("label"))
+    return profile.label_counts(R.table(spark, d, "documents").select("doc_id", "source").join(own, "doc_id"), "source", "label", ("Good Fit", "Potential Fit", "No Fit"))
+
+
+@query("literal_filter", "SELECT doc_id FROM documents WHERE contains(text, '$')")
+def literal_filter(spark, d):
+    return profile.containing(R.documents(spark, d), "text", "$").select("doc_id")
+
+
+@query("english_documents", f"SELECT lang, count(*) AS n FROM documents WHERE lang = 'en' AND trim(text) <> '' GROUP BY 1")
+def english_documents(spark, d):
+    return readers.in_language(R.table(spark, d, "documents")).groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@query("parsed_lists", """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name || '|it''s|b' WHEN 1 THEN 'a, b|c' WHEN 2 THEN '' ELSE '' END AS items, CASE p_partkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 0 END AS n FROM part""")
+def parsed_lists(spark, d):
+    """Lists written as text: either kind of quotes, an apostrophe inside, numbers beside strings, and what is no list."""
+    key = F.col("p_partkey") % 4
+    cell = F.when(key == 0, F.concat(F.lit("['"), "p_name", F.lit("', \"it's\", 'b', 3]"))).when(key == 1, F.lit("['a, b', None, 'c']")).when(key == 2, F.lit("[]")).otherwise("['broken")
+    found = R.table(spark, d, "part").select("p_partkey", text.parse_list(cell).alias("l"))
+    return found.select("p_partkey", F.array_join("l", "|").alias("items"), F.size("l").alias("n"))
 
 
 @query("text_assembly", f"""SELECT conv_id, turn, regexp_replace(concat_ws(chr(10) || chr(10), nullif(regexp_replace(coalesce(role, ''), '^{_SPACE}+|{_SPACE}+$', '', 'g'), ''), nullif(regexp_replace(CASE WHEN turn % 3 = 0 THEN '  ' ELSE chr(10) || text END, '^{_SPACE}+|{_SPACE}+$', '', 'g'), '')), '\\n{{3,}}', chr(10) || chr(10), 'g') AS whole FROM conversations""")

@@ -4,26 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankloom.operators import agreement, campaign, pools, scoring
+from rankloom import shared
+from rankloom.operators import agreement, campaign, pools, sampling, scoring
 from rankloom.plans import relations as R
+from rankloom.plans.annotate import sql_quota
 from rankloom.plans.catalog import query
 from rankloom.plans.retrieval import _CELLS, _REPORT, SQL_POOLS, _cells, _pools
 
-SPECS = [{"batch": 1, "n_queries": 6, "per_query": 4, "same_min": 3, "seed": 1}, {"batch": 2, "n_queries": 3, "per_query": 4, "same_min": 2, "seed": 2, "keywords": [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12]}]
+SPECS = [{"batch": 1, "n_queries": 6, "per_query": 4, "same_min": 3, "seed": 1}, {"batch": 2, "n_queries": 3, "per_query": 4, "same_min": 2, "seed": 2, "keywords": [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12]}, {"batch": 3, "n_queries": 4, "per_query": 3, "same_min": 1, "seed": 3, "deeper": True}]
 
 
 def _sql_batch(k: int, spec: dict, free_q: str, free_d: str) -> str:
     s, n = spec["seed"], spec["n_queries"]
-    return f"""fq{k} AS ({free_q}), c{k} AS (SELECT query_id, keyword FROM (SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY sha256('{s}|even|' || query_id), query_id) AS r FROM fq{k}) WHERE r <= ceil({n}.0 / (SELECT count(DISTINCT keyword) FROM fq{k})) ORDER BY query_id LIMIT {n}),
-s{k} AS (SELECT *, row_number() OVER (ORDER BY sha256('{s}|seat|' || query_id), query_id) - 1 AS q FROM c{k}),
-o{k} AS (SELECT s.query_id, d.doc_id, s.keyword = d.keyword AS keyword_match FROM ({free_d}) d JOIN s{k} s ON s.q = ('0x' || substr(sha256('{s}|owner|' || d.doc_id), 1, 8))::UBIGINT % (SELECT count(*) FROM s{k})),
-r{k} AS (SELECT *, row_number() OVER (PARTITION BY query_id, keyword_match ORDER BY sha256('{s}|' || query_id || '|' || doc_id), doc_id) AS r, least({spec["same_min"]}, count(*) FILTER (WHERE keyword_match) OVER (PARTITION BY query_id)) AS took FROM o{k}),
-b{k} AS (SELECT {k} AS batch, query_id, doc_id, keyword_match, '{"targeted" if spec.get("keywords") else "generic"}' AS stratum FROM r{k} WHERE r <= CASE WHEN keyword_match THEN took ELSE {spec["per_query"]} - took END)"""
+    return f"""fq{k} AS ({free_q}), fd{k} AS ({free_d}), c{k} AS (SELECT query_id, keyword FROM (SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY sha256('{s}|even|' || query_id), query_id) AS r FROM fq{k}) WHERE r <= ceil({n}.0 / (SELECT count(DISTINCT keyword) FROM fq{k})) ORDER BY query_id LIMIT {n}),
+{sql_quota(str(k), f"c{k}", f"fd{k}", spec["per_query"], spec["same_min"], s)}, b{k} AS (SELECT {k} AS batch, query_id, doc_id, keyword_match, '{"targeted" if spec.get("keywords") else "generic"}' AS stratum FROM picks{k})"""
 
 
 SQL_CAMPAIGN = f"""{R.SQL_CELLS}, {_sql_batch(1, SPECS[0], "SELECT query_id, keyword FROM cq", "SELECT doc_id, keyword FROM cd")},
 {_sql_batch(2, SPECS[1], "SELECT query_id, keyword FROM cq WHERE keyword <= 12 AND query_id NOT IN (SELECT query_id FROM b1)", "SELECT doc_id, keyword FROM cd WHERE doc_id NOT IN (SELECT doc_id FROM b1)")},
-campaign AS (SELECT * FROM b1 UNION ALL SELECT * FROM b2)"""
+{_sql_batch(3, SPECS[2], "SELECT query_id, keyword FROM cq WHERE query_id IN (SELECT query_id FROM b1 UNION SELECT query_id FROM b2)", "SELECT doc_id, keyword FROM cd WHERE doc_id NOT IN (SELECT doc_id FROM b1 UNION SELECT doc_id FROM b2)")},
+campaign AS (SELECT * FROM b1 UNION ALL SELECT * FROM b2 UNION ALL SELECT * FROM b3)"""
 
 
 def _campaign(spark, d):
@@ -35,10 +35,16 @@ def campaign_replay(spark, d):
     return _campaign(spark, d)
 
 
-@query("check_campaign", "SELECT 'campaign: labels survive' AS \"check\", true AS ok, CAST(0 AS BIGINT) AS n_violations")
-def check_campaign(spark, d):
-    made = _campaign(spark, d).withColumn("pair_id", F.concat_ws("__", "query_id", "doc_id"))
-    return campaign.labels_survive(made, made.filter("batch = 1"))
+@query("campaign_holdout", f"WITH {SQL_CAMPAIGN} SELECT 'query' AS kind, query_id AS id FROM (SELECT DISTINCT query_id FROM campaign) UNION ALL SELECT 'document', doc_id FROM (SELECT doc_id FROM cd WHERE keyword IN (SELECT keyword FROM cq WHERE query_id IN (SELECT query_id FROM campaign)) UNION SELECT doc_id FROM campaign)")
+def campaign_holdout(spark, d):
+    return campaign.holdout(shared.kept(_campaign(spark, d), "campaign"), R.cell_queries(spark, d).select("query_id", "keyword"), R.cell_documents(spark, d).select("doc_id", "keyword"))
+
+
+@query("stratum_summary", f"""WITH {SQL_CAMPAIGN}, per AS (SELECT stratum, batch, query_id, count(*) AS n, count(*) FILTER (WHERE keyword_match) AS m FROM campaign GROUP BY 1, 2, 3)
+SELECT c.stratum, count(*) AS pairs, count(DISTINCT doc_id) AS documents, round(avg(CASE WHEN keyword_match THEN 1.0 ELSE 0.0 END), 6) AS match_rate, any_value(batches) AS batches, any_value(queries) AS queries, any_value(missing) AS missing, any_value(short_same) AS short_same
+FROM campaign c JOIN (SELECT stratum, count(DISTINCT batch) AS batches, count(*) AS queries, CAST(sum(4 - n) AS BIGINT) AS missing, count(*) FILTER (WHERE m < 2) AS short_same FROM per GROUP BY 1) p ON p.stratum = c.stratum GROUP BY c.stratum""")
+def stratum_summary(spark, d):
+    return sampling.stratum_summary(shared.kept(_campaign(spark, d), "campaign"), 4, 2)
 
 
 @query("judgement_overlay", f"""WITH {SQL_POOLS}, j AS (SELECT query_id, doc_id, 'potential' AS relevance FROM pools WHERE pool_variant = 'N20' AND source = 'distractor' AND doc_id % 4 = 0)

@@ -1,7 +1,7 @@
 """The engine's relations over the driver's tables, in Spark and as DuckDB common table expressions.
 
-Benchmark items are queries and labelled documents their candidates: a pair is judged if the first hex digit of the
-hash of both ids is 0, 1 or 2. Suppliers and customers are the two sides of a partition with keywords (nation) and
+Benchmark items are queries and labelled documents their candidates: each document draws a few queries by the hash of
+its id and the draw's number. Suppliers and customers are the two sides of a partition with keywords (nation) and
 bands (balance). Conversations are groups that annotators label.
 """
 
@@ -15,6 +15,8 @@ from rankloom.operators import splits
 
 SEED = 0
 TEST, VAL = 0.3, 0.1
+#: Queries that a document draws.
+DRAWS = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,10 +36,12 @@ def label(quality: Column, toxic: Column) -> Column:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, doc_id, label; the benchmark is the bounded side."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", label(F.col("quality"), F.col("toxic")).alias("label"))
-    both = labels.crossJoin(F.broadcast(queries(spark, sf_dir).select("query_id")))
-    return both.filter(F.substring(order.digest(F.col("query_id"), F.col("doc_id")), 1, 1).isin("0", "1", "2")).select("query_id", "doc_id", "label")
+    """query_id, doc_id, label: each labelled document with the distinct ones of DRAWS queries that it draws."""
+    numbered = order.drawn(queries(spark, sf_dir).select("query_id").distinct(), SEED, "number", "query_id").select("query_id", (F.col("_r") - 1).alias("_q"))
+    n = numbered.agg(F.count("*").alias("_n")).filter("_n > 0")  # one row
+    labels = table(spark, sf_dir, "labels").select("doc_id", label(F.col("quality"), F.col("toxic")).alias("label")).crossJoin(F.broadcast(n))
+    drawn = F.array(*(order.hash_int(8, F.col("doc_id"), j).cast("long") % F.col("_n") for j in range(DRAWS)))
+    return labels.select("doc_id", "label", F.explode(F.array_distinct(drawn)).alias("_q")).join(numbered, "_q").select("query_id", "doc_id", "label")
 
 
 def doc_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +103,9 @@ def _assigned(name: str, source: str, ident: str, salt: str, test: float, val: f
 
 
 SQL_QUERIES = "queries AS (SELECT item_id AS query_id, text FROM benchmark)"
-SQL_PAIRS = f"pairs AS (SELECT b.item_id AS query_id, l.doc_id, {_LABEL} AS label FROM labels l CROSS JOIN benchmark b WHERE substr(sha256(b.item_id || '|' || l.doc_id), 1, 1) IN ('0', '1', '2'))"
+_DRAWN = f"list_distinct([CAST(('0x' || substr(sha256(l.doc_id || '|' || j), 1, 8))::UBIGINT AS BIGINT) % n FOR j IN range({DRAWS})])"
+SQL_PAIRS = f"""numbered AS (SELECT query_id, row_number() OVER (ORDER BY sha256('{SEED}|number|' || query_id), query_id) - 1 AS q FROM (SELECT DISTINCT item_id AS query_id FROM benchmark)),
+pairs AS (SELECT query_id, doc_id, label FROM (SELECT l.doc_id, {_LABEL} AS label, unnest({_DRAWN}) AS q FROM labels l CROSS JOIN (SELECT count(*) AS n FROM numbered)) JOIN numbered USING (q))"""
 SQL_SPLITS = ", ".join((_assigned("doc_split", "labels", "doc_id", "doc", TEST, VAL), SQL_QUERIES, _assigned("query_split", "queries", "query_id", "query", TEST, VAL)))
 SQL_SPLIT_PAIRS = f"{SQL_PAIRS}, {SQL_SPLITS}, split_pairs AS (SELECT p.*, CASE WHEN d.split = q.split THEN d.split ELSE 'discarded' END AS split FROM pairs p LEFT JOIN doc_split d USING (doc_id) LEFT JOIN query_split q USING (query_id))"
 SQL_TEST = f"{SQL_SPLIT_PAIRS}, test_pairs AS (SELECT query_id, doc_id, label FROM split_pairs WHERE split = 'test')"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankloom import shared
+from rankloom.functions import text
 from rankloom.operators import agreement, evaluation, pools, scoring, splits
 from rankloom.plans import relations as R
 from rankloom.plans.catalog import query
@@ -122,12 +124,12 @@ _TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]{{2
 
 
 def _sql_terms(name: str, source: str, ident: str) -> str:
-    return f"{name} AS (SELECT {ident}, term, count(*) AS tf FROM (SELECT {ident}, unnest({_TOKENS}) AS term FROM {source}) GROUP BY 1, 2)"
+    return f"{name} AS MATERIALIZED (SELECT {ident}, term, count(*) AS tf FROM (SELECT {ident}, unnest({_TOKENS}) AS term FROM {source}) GROUP BY 1, 2)"
 
 
-_SQL_STATS = f"""{_sql_terms("dt", "documents", "doc_id")}, sized AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(tf) FROM dt) / CAST((SELECT count(*) FROM documents) AS DOUBLE) AS avgdl),
-raw AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM dt CROSS JOIN sized GROUP BY 1),
-idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
+_SQL_STATS = f"""{_sql_terms("dt", "documents", "doc_id")}, sized AS MATERIALIZED (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(tf) FROM dt) / CAST((SELECT count(*) FROM documents) AS DOUBLE) AS avgdl),
+counted AS MATERIALIZED (SELECT term, count(*) AS df FROM dt GROUP BY 1), raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM counted CROSS JOIN sized), mean AS MATERIALIZED (SELECT avg(raw) AS m FROM raw),
+idf AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END AS idf FROM raw CROSS JOIN mean)"""
 
 
 @query("bm25_stats", f"WITH {_SQL_STATS} SELECT term, df, round(idf, 5) AS idf FROM idf")
@@ -144,7 +146,7 @@ bm25 AS (SELECT p.query_id, p.doc_id, round(coalesce(sum(q.tf * i.idf * t.tf * 2
 
 @query("bm25_scores", f"WITH {R.SQL_TEST}, {_sql_bm25('test_pairs')} SELECT query_id, doc_id, score FROM bm25")
 def bm25_scores(spark, d):
-    return scoring.bm25(R.test_pairs(spark, d), R.queries(spark, d), R.documents(spark, d))
+    return scoring.bm25(shared.kept(R.test_pairs(spark, d), "test_pairs"), R.queries(spark, d), R.documents(spark, d))
 
 
 _STOP = ", ".join(f"'{w}'" for w in scoring.STOP_WORDS)
@@ -169,14 +171,18 @@ def tfidf_vocab(spark, d):
     return scoring.tfidf_vocabulary(_fit(spark, d), "id").select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-_SQL_COSINE = f"""{_SQL_VOCAB}, w AS (SELECT id, term, tf * idf AS w FROM ft JOIN vocab USING (term)), unit AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM w),
-cosine AS (SELECT p.query_id, p.doc_id, round(coalesce(sum(a.w * b.w), 0.0), 6) AS score FROM (SELECT DISTINCT query_id, doc_id FROM test_pairs) p LEFT JOIN unit a ON a.id = 'q' || p.query_id LEFT JOIN unit b ON b.id = 'd' || p.doc_id AND b.term = a.term GROUP BY 1, 2)"""
+def _sql_cosine(pairs: str) -> str:
+    return f"""{_SQL_VOCAB}, w AS (SELECT id, term, tf * idf AS w FROM ft JOIN vocab USING (term)), unit AS MATERIALIZED (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM w),
+cosine AS (SELECT p.query_id, p.doc_id, round(coalesce(sum(a.w * b.w), 0.0), 6) AS score FROM (SELECT DISTINCT query_id, doc_id FROM {pairs}) p LEFT JOIN unit a ON a.id = 'q' || p.query_id LEFT JOIN unit b ON b.id = 'd' || p.doc_id AND b.term = a.term GROUP BY 1, 2)"""
+
+
+_SQL_COSINE = _sql_cosine("test_pairs")
 
 
 @query("tfidf_cosine", f"WITH {R.SQL_TEST}, {_SQL_COSINE} SELECT query_id, doc_id, score FROM cosine")
 def tfidf_cosine(spark, d):
     vocabulary = scoring.tfidf_vocabulary(_fit(spark, d), "id")
-    return scoring.tfidf_cosine(R.test_pairs(spark, d), R.queries(spark, d), R.documents(spark, d), vocabulary)
+    return scoring.tfidf_cosine(shared.kept(R.test_pairs(spark, d), "test_pairs"), R.queries(spark, d), R.documents(spark, d), vocabulary)
 
 
 _SQL_RANDOM = "SELECT query_id, doc_id, round(('0x' || substr(sha256('7|' || query_id || '|' || doc_id), 1, 8))::UBIGINT / 4294967296.0::DOUBLE, 6) AS score FROM (SELECT DISTINCT query_id, doc_id FROM pools)"
@@ -198,7 +204,8 @@ ranked_pools AS (SELECT p.*, s.score, row_number() OVER (PARTITION BY pool_varia
 
 
 def _ranked(spark, d) -> DataFrame:
-    return evaluation.rank(_pools(spark, d), _random(spark, d))
+    made = shared.kept(_pools(spark, d), "pools")
+    return shared.kept(evaluation.rank(made, scoring.random_scores(made, 7)), "ranked")
 
 
 @query("rank_pool", f"WITH {SQL_RANKED} SELECT pool_variant, query_id, doc_id, score, rn FROM ranked_pools WHERE rn <= 10")
@@ -207,10 +214,19 @@ def rank_pool(spark, d):
 
 
 def _sql_metrics(ranked: str, by: str) -> str:
-    return f"""gains AS (SELECT *, row_number() OVER (PARTITION BY {by}, definition ORDER BY gain DESC, doc_id) AS ideal FROM (SELECT {by}, doc_id, rn, definition,
-  CASE WHEN definition = 'strict' THEN CASE WHEN relevance = 'good' THEN 1 ELSE 0 END ELSE CASE relevance WHEN 'good' THEN 2 WHEN 'potential' THEN 1 ELSE 0 END END AS gain FROM {ranked} CROSS JOIN (VALUES ('strict'), ('graded')) AS v(definition))),
-metrics AS (SELECT {by}, definition, count(*) FILTER (WHERE gain > 0 AND rn <= 10) / CAST(count(*) FILTER (WHERE gain > 0) AS DOUBLE) AS recall, count(*) FILTER (WHERE gain > 0 AND rn <= 5) / 5.0::DOUBLE AS precision,
-  sum(CASE WHEN rn <= 10 THEN gain / log2(rn + 1) ELSE 0 END) / sum(CASE WHEN ideal <= 10 THEN gain / log2(ideal + 1) ELSE 0 END) AS ndcg FROM gains GROUP BY ALL HAVING count(*) FILTER (WHERE gain > 0) > 0)"""
+    return f"""graded AS (SELECT {by}, doc_id, rn, gain, row_number() OVER (PARTITION BY {by} ORDER BY gain DESC, doc_id) AS ideal FROM (SELECT {by}, doc_id, rn, CASE relevance WHEN 'good' THEN 2 WHEN 'potential' THEN 1 ELSE 0 END AS gain FROM {ranked})),
+gains AS (SELECT *, CASE WHEN definition = 'strict' THEN gain = 2 ELSE gain > 0 END AS rel FROM graded CROSS JOIN (VALUES ('strict'), ('graded')) AS v(definition)),
+metrics AS MATERIALIZED (SELECT {by}, definition, count(*) FILTER (WHERE rel AND rn <= 10) / CAST(count(*) FILTER (WHERE rel) AS DOUBLE) AS recall, count(*) FILTER (WHERE rel AND rn <= 5) / 5.0::DOUBLE AS precision,
+  sum(CASE WHEN rn <= 10 THEN gain / log2(rn + 1) ELSE 0 END) / sum(CASE WHEN ideal <= 10 THEN gain / log2(ideal + 1) ELSE 0 END) AS ndcg FROM gains GROUP BY ALL HAVING count(*) FILTER (WHERE rel) > 0)"""
+
+
+def _sql_interval(name: str, source: str, by: str, draws: int = 10_000) -> str:
+    """name(by, mean, n, ci_low, ci_high) over source(by, unit, value)."""
+    return f"""{name}_v AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY unit) - 1 AS i, count(*) OVER (PARTITION BY {by}) AS n FROM {source}),
+{name}_x AS MATERIALIZED (SELECT n, d, CAST(('0x' || substr(sha256('0|' || d || '|' || p), 1, 8))::UBIGINT AS BIGINT) % n AS i FROM (SELECT n, d, unnest(range(n)) AS p FROM (SELECT DISTINCT n FROM {name}_v) CROSS JOIN (SELECT unnest(range({draws})) AS d))),
+{name}_m AS (SELECT {by}, d, avg(value) AS m FROM {name}_x JOIN {name}_v USING (n, i) GROUP BY ALL),
+{name}_c AS (SELECT {by}, round(quantile_cont(m, 0.025), 5) AS ci_low, round(quantile_cont(m, 0.975), 5) AS ci_high FROM {name}_m GROUP BY ALL),
+{name} AS (SELECT {by}, round(mean, 5) AS mean, n, ci_low, ci_high FROM (SELECT {by}, avg(value) AS mean, count(*) AS n FROM {name}_v GROUP BY ALL) JOIN {name}_c USING ({by}))"""
 
 
 _SQL_QM = f"{SQL_RANKED}, {_sql_metrics('ranked_pools', 'pool_variant, query_id')}"
@@ -239,21 +255,57 @@ ranked AS (SELECT model, s.query_id, s.doc_id, CASE label WHEN 'Good Fit' THEN '
 {_sql_metrics("ranked", "model, query_id")}, long AS (UNPIVOT metrics ON recall, precision, ndcg INTO NAME metric VALUE value)
 SELECT model, definition, metric, round(avg(value), 5) AS value, count(*) AS n_queries FROM long GROUP BY 1, 2, 3""")
 def metric_grid(spark, d):
-    pairs = R.test_pairs(spark, d)
-    q, docs = R.queries(spark, d), R.documents(spark, d)
-    scored = scoring.bm25(pairs, q, docs).withColumn("model", F.lit("bm25"))
-    scored = scored.unionByName(scoring.tfidf_cosine(pairs, q, docs, scoring.tfidf_vocabulary(_fit(spark, d), "id")).withColumn("model", F.lit("tfidf")))
-    scored = scored.unionByName(scoring.random_scores(pairs, 7).withColumn("model", F.lit("random")))
+    pairs = shared.kept(R.test_pairs(spark, d), "test_pairs")
+    scored = _scores(spark, d, pairs).unionByName(scoring.random_scores(pairs, 7).withColumn("model", F.lit("random")))
     judged = pairs.select("query_id", "doc_id", pools.relevance(F.col("label")).alias("relevance"))
     ranked = evaluation.rank(judged, scored, ("model", "query_id"))
     return evaluation.grid(evaluation.query_metrics(ranked, ("model", "query_id")), ("model",))
 
 
+def _scores(spark, d, pairs: DataFrame, dense: bool = False) -> DataFrame:
+    """model, query_id, doc_id, score of both lexical models."""
+    q, docs = R.queries(spark, d), R.documents(spark, d)
+    lexical = scoring.bm25(pairs, q, docs, dense=dense).withColumn("model", F.lit("bm25"))
+    return lexical.unionByName(scoring.tfidf_cosine(pairs, q, docs, scoring.tfidf_vocabulary(_fit(spark, d), "id"), dense=dense).withColumn("model", F.lit("tfidf")))
+
+
+_SQL_POOL_RANKED = f"""{SQL_POOLS}, made AS MATERIALIZED (SELECT * FROM pools), every AS MATERIALIZED (SELECT query_id, doc_id FROM made WHERE pool_variant = 'Nfull'), {_sql_bm25("every")}, {_sql_cosine("every")},
+scored AS MATERIALIZED (SELECT 'bm25' AS model, * FROM bm25 UNION ALL SELECT 'tfidf', * FROM cosine UNION ALL SELECT 'random', query_id, doc_id, round(('0x' || substr(sha256('7|' || query_id || '|' || doc_id), 1, 8))::UBIGINT / 4294967296.0::DOUBLE, 6) FROM every),
+pool_ranked AS MATERIALIZED (SELECT model, p.*, row_number() OVER (PARTITION BY model, pool_variant, p.query_id ORDER BY score DESC, p.doc_id) AS rn FROM made p JOIN scored s ON s.query_id = p.query_id AND s.doc_id = p.doc_id)"""
+
+
+def _pool_ranked(spark, d) -> DataFrame:
+    """Every pool ranked by each model; pairs are scored once, in the deepest variant, and the smaller ones are within it."""
+    made = shared.kept(_pools(spark, d), "pools")
+    evaluation.require_depth(made, 10)
+    every = shared.kept(made.filter("pool_variant = 'Nfull'").select("query_id", "doc_id"), "deepest")
+    scored = _scores(spark, d, every, dense=True).unionByName(scoring.random_scores(every, 7).withColumn("model", F.lit("random")))
+    models = spark.createDataFrame([(m,) for m in ("bm25", "tfidf", "random")], "model string")  # three rows
+    return shared.kept(evaluation.rank(made.crossJoin(models), scored, ("model", "pool_variant", "query_id")), "pool_ranked")
+
+
+@query("pool_grid", f"""WITH {_SQL_POOL_RANKED}, {_sql_metrics("pool_ranked", "model, pool_variant, query_id")}, long AS (SELECT model, pool_variant, definition, metric, query_id AS unit, value FROM (UNPIVOT metrics ON recall, precision, ndcg INTO NAME metric VALUE value)),
+{_sql_interval("grid", "long", "model, pool_variant, definition, metric")} SELECT model, pool_variant, definition, metric, mean AS value, n AS n_queries, ci_low, ci_high FROM grid""")
+def pool_grid(spark, d):
+    """All figures over pools: model, metric, definition and variant, with the number of queries and the interval over them."""
+    return evaluation.figures(evaluation.query_metrics(_pool_ranked(spark, d), ("model", "pool_variant", "query_id")), ("model", "pool_variant"))
+
+
+@query("pool_exposure", f"""WITH {_SQL_POOL_RANKED}, s AS (SELECT model, pool_variant, query_id AS unit, count(*) FILTER (WHERE source = 'distractor') / 5.0::DOUBLE AS value FROM pool_ranked WHERE rn <= 5 GROUP BY 1, 2, 3), {_sql_interval("grid", "s", "model, pool_variant")} SELECT * FROM grid""")
+def pool_exposure(spark, d):
+    return evaluation.exposure_interval(_pool_ranked(spark, d), 5, ("model", "pool_variant"))
+
+
+@query("ceiling_interval", f"""WITH {SQL_RELEVANT}, s AS (SELECT pool_variant, definition, query_id AS unit, least(5, r) / 5.0::DOUBLE AS value FROM relevant), {_sql_interval("grid", "s", "pool_variant, definition")} SELECT * FROM grid""")
+def ceiling_interval(spark, d):
+    return pools.ceiling_interval(shared.kept(_pools(spark, d), "pools"), "precision", 5)
+
+
 @query("metric_slice", f"""WITH {R.SQL_TEST}, {_sql_bm25("test_pairs")},
 ranked AS (SELECT b.query_id, b.doc_id, CASE label WHEN 'Good Fit' THEN 'good' WHEN 'Potential Fit' THEN 'potential' ELSE 'none' END AS relevance, row_number() OVER (PARTITION BY b.query_id ORDER BY score DESC, b.doc_id) AS rn FROM bm25 b JOIN test_pairs t ON t.query_id = b.query_id AND t.doc_id = b.doc_id),
 {_sql_metrics("ranked", "query_id")} SELECT query_id, definition, round(recall, 6) AS recall, round(precision, 6) AS precision, round(ndcg, 6) AS ndcg FROM metrics""")
 def metric_slice(spark, d):
-    pairs = R.test_pairs(spark, d)
+    pairs = shared.kept(R.test_pairs(spark, d), "test_pairs")
     judged = pairs.select("query_id", "doc_id", pools.relevance(F.col("label")).alias("relevance"))
     return evaluation.query_metrics(evaluation.rank(judged, scoring.bm25(pairs, R.queries(spark, d), R.documents(spark, d)), ("query_id",)), ("query_id",), places=6)
 
@@ -274,12 +326,10 @@ def attainable_share(spark, d):
     return evaluation.attainable_share(figures, best, ["pool_variant", "definition"])
 
 
-@query("bootstrap_ci", f"""WITH {_SQL_QM}, v AS (SELECT definition, query_id, recall AS value, row_number() OVER (PARTITION BY definition ORDER BY query_id) - 1 AS i, count(*) OVER (PARTITION BY definition) AS n FROM metrics WHERE pool_variant = 'N20'),
-m AS (SELECT a.definition, b.d, avg(c.value) AS m FROM v a CROSS JOIN (SELECT unnest(range(500)) AS d) b JOIN v c ON c.definition = a.definition AND c.i = CAST(('0x' || substr(sha256('0|' || b.d || '|' || a.i), 1, 8))::UBIGINT AS BIGINT) % a.n GROUP BY 1, 2)
-SELECT v.definition, round(avg(value), 5) AS mean, count(*) AS n, any_value(lo) AS ci_low, any_value(hi) AS ci_high FROM v JOIN (SELECT definition, round(quantile_cont(m, 0.025), 5) AS lo, round(quantile_cont(m, 0.975), 5) AS hi FROM m GROUP BY 1) c ON c.definition = v.definition GROUP BY 1""")
+@query("bootstrap_ci", f"""WITH {_SQL_QM}, s AS (SELECT pool_variant, definition, query_id AS unit, recall AS value FROM metrics), {_sql_interval("grid", "s", "pool_variant, definition")} SELECT * FROM grid""")
 def bootstrap_ci(spark, d):
-    m = evaluation.query_metrics(_ranked(spark, d)).filter("pool_variant = 'N20'")
-    return evaluation.bootstrap(m.select("definition", F.col("query_id").alias("unit"), F.col("recall").alias("value")), ("definition",), draws=500)
+    m = evaluation.query_metrics(_ranked(spark, d))
+    return evaluation.bootstrap(m.select("pool_variant", "definition", F.col("query_id").alias("unit"), F.col("recall").alias("value")), ("pool_variant", "definition"))
 
 
 # --- classification and agreement ------------------------------------------
@@ -373,11 +423,54 @@ def fleiss_kappa(spark, d):
     return agreement.fleiss(each.select("pair_id", F.when(h < "8", "Good Fit").when(h < "c", "Potential Fit").otherwise("No Fit").alias("label")), "pair_id")
 
 
+def _labelled(spark, d) -> DataFrame:
+    """Pairs with score, label and split, of texts with their skill terms added."""
+    q, docs = (x.withColumn("text", text.augment(F.coalesce("text", F.lit("")))) for x in (R.queries(spark, d), R.documents(spark, d)))
+    pairs = shared.kept(R.split_pairs(spark, d).filter("split <> 'discarded'"), "split_pairs")
+    train = pairs.filter("split = 'train'").select("doc_id").distinct()
+    fit = docs.join(train, "doc_id", "left_semi")
+    lexical = scoring.bm25(pairs, q, docs, fit_on=fit).withColumn("model", F.lit("bm25"))
+    both = fit.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text").unionByName(q.join(pairs.filter("split = 'train'").select("query_id").distinct(), "query_id", "left_semi").select(F.concat(F.lit("q"), F.col("query_id").cast("string")).alias("id"), "text"))
+    vector = scoring.tfidf_cosine(pairs, q, docs, scoring.tfidf_vocabulary(both, "id")).withColumn("model", F.lit("tfidf"))
+    return shared.kept(lexical.unionByName(vector).join(pairs, ["query_id", "doc_id"]), "labelled")
+
+
+def baseline(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Test predictions (model, query_id, doc_id, score, label, predicted) and reports (model, accuracy, macro_f1, n): add terms, fit on train, score, classify, report for both models."""
+    scored, predictions, reports = _labelled(spark, d), None, None
+    for name in ("bm25", "tfidf"):  # two models
+        own = scored.filter(F.col("model") == name)
+        model = agreement.fit_label_model(own.filter("split = 'train'").select("query_id", "doc_id", "score", "label"))
+        said = agreement.predict_label(model, own.filter("split = 'test'")).join(own.select("query_id", "doc_id", "label"), ["query_id", "doc_id"])
+        said = shared.kept(said.withColumn("model", F.lit(name)), "predictions")
+        report = agreement.overall(agreement.confusion(said.select(F.col("label").alias("truth"), "predicted"))).withColumn("model", F.lit(name))
+        predictions = said if predictions is None else predictions.unionByName(said)
+        reports = report if reports is None else reports.unionByName(report)
+    return predictions, reports
+
+
 @query("lr_predict")
 def lr_predict(spark, d):
-    scored = scoring.bm25(R.pairs(spark, d), R.queries(spark, d), R.documents(spark, d)).join(R.split_pairs(spark, d), ["query_id", "doc_id"])
-    model = agreement.fit_label_model(scored.filter("split = 'train'").select("query_id", "doc_id", "score", "label").cache())
-    return agreement.predict_label(model, scored.filter("split = 'test'"))
+    return baseline(spark, d)[0].select("model", "query_id", "doc_id", "score", "predicted")
+
+
+@query("baseline_report")
+def baseline_report(spark, d):
+    """Accuracy and macro F1 of both models on test pairs beside the floor of the most common label."""
+    floor = agreement.majority_floor(shared.kept(R.test_pairs(spark, d), "test_pairs")).select(F.lit("floor").alias("model"), "accuracy", "macro_f1")
+    return baseline(spark, d)[1].select("model", "accuracy", "macro_f1").unionByName(floor)
+
+
+#: Stored coefficients of a label model on BM25 scores: intercept and slope of each label.
+STORED = {"Good Fit": (-0.75, 0.125), "Potential Fit": (0.25, 0.0625), "No Fit": (0.5, -0.1875)}
+
+
+@query("label_rule", f"""WITH {R.SQL_TEST}, {_sql_bm25('test_pairs')}, margins AS (SELECT query_id, doc_id, score, label, margin, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY margin DESC, place) AS r FROM (
+  SELECT query_id, doc_id, score, v.label, v.place, v.intercept + v.slope * score AS margin FROM bm25 CROSS JOIN (VALUES {", ".join(f"('{k}', {i}, {a}::DOUBLE, {b}::DOUBLE)" for i, (k, (a, b)) in enumerate(STORED.items()))}) AS v(label, place, intercept, slope)))
+SELECT query_id, doc_id, score, label AS predicted FROM margins WHERE r = 1""")
+def label_rule(spark, d):
+    scored = scoring.bm25(shared.kept(R.test_pairs(spark, d), "test_pairs"), R.queries(spark, d), R.documents(spark, d))
+    return agreement.apply_rule(scored, STORED)
 
 
 @query("embedding_neighbours", """WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0),

@@ -85,4 +85,20 @@ def with_texts(units: DataFrame, *texts: DataFrame) -> DataFrame:
     every = texts[0]
     for more in texts[1:]:
         every = every.unionByName(more, allowMissingColumns=True)
-    return units.join(every.select("doc_id", "text").dropDuplicates(["doc_id"]), "doc_id", "left")
+    one = every.groupBy("doc_id").agg(F.min("text").alias("text"))  # of several texts of an id the first in order
+    return units.join(one, "doc_id", "left")
+
+
+def campaign(spark: SparkSession, path: str, default: list[dict]) -> list[dict]:
+    """Batch specs of a campaign, from JSON lines in order of batch; the default where there is no file."""
+    import json
+
+    if not _exists(spark, path):
+        return list(default)
+    return sorted((json.loads(r["value"]) for r in spark.read.text(path).filter("trim(value) <> ''").collect()), key=lambda b: b["batch"])  # a short list
+
+
+def in_language(documents: DataFrame, language: str = "en", regions: DataFrame | None = None, region: str = "eval") -> DataFrame:
+    """Documents of one language with a text that is not blank; of one region if regions (doc_id, region) are given."""
+    kept = documents.filter((F.col("lang") == language) & F.col("text").isNotNull() & (F.trim("text") != ""))
+    return kept if regions is None else kept.join(regions.filter(F.col("region") == region).select("doc_id"), "doc_id", "left_semi")

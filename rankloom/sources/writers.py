@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankloom import shared
+
 
 def by_partition(df: DataFrame, path: str, column: str) -> None:
     """Replace the partitions that df has; others stay (an absent one is not truncated)."""
@@ -36,7 +38,29 @@ def append_new(df: DataFrame, path: str, keys: list[str]) -> int:
     from rankloom.sources.readers import json_lines
 
     fresh = df.join(json_lines(df.sparkSession, path, df.schema).select(*keys).distinct(), keys, "left_anti").dropDuplicates(keys)
+    fresh = shared.kept(fresh, "fresh")  # counted and written, made once
     n = fresh.count()
     if n:
         fresh.write.mode("append").json(path)
     return n
+
+
+def swap(df: DataFrame, path: str, kind: str = "parquet") -> None:
+    """Replace a table by one that may be made from it: the new one is written beside it, and takes its place when it is whole.
+
+    A driver lost between the two renames leaves the old table under ``path.old``.
+    """
+    spark = df.sparkSession
+    fresh, old = f"{path}.new", f"{path}.old"
+    shared.delete(spark, fresh, old)
+    df.write.format(kind).save(fresh)
+    target, files = shared.path_and_files(spark, path)
+    moved = not files.exists(target) or files.rename(target, shared.path_and_files(spark, old)[0])
+    if not (moved and files.rename(shared.path_and_files(spark, fresh)[0], target)):
+        raise OSError(f"{path} could not be replaced; the new table is at {fresh}")
+    shared.delete(spark, old)
+
+
+def exclusions(found: DataFrame, path: str) -> None:
+    """The list of excluded documents as one CSV file, the largest containment first; as long as the overlap it lists."""
+    found.orderBy(F.desc("containment"), "doc_id").coalesce(1).write.mode("overwrite").csv(path, header=True, lineSep="\n")

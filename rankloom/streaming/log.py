@@ -33,3 +33,18 @@ def run_progress(log: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
         batch.write.mode("overwrite").parquet(sink)
 
     return counts(log).writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def append_labels(log: DataFrame, sink: str, checkpoint: str, late: str = "1 day", time: str = "at") -> StreamingQuery:
+    """Append each pair and annotator's first label as JSON lines as it arrives; what the watermark has passed is forgotten.
+
+    log: pair_id, annotator, label and a time. Files and checkpoint together make each row come once, whatever is lost.
+    """
+    first = log.withWatermark(time, late).dropDuplicatesWithinWatermark(["pair_id", "annotator"])
+    return first.writeStream.format("json").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def closed_windows(events: DataFrame, sink: str, checkpoint: str, time: str = "ts", width: str = "1 hour", late: str = "1 day") -> StreamingQuery:
+    """Append the counts of each window once, when the watermark has passed it."""
+    found = windowed(events, time, width, late).select(F.col("window.start").alias("start"), "event_type", "n")
+    return found.writeStream.outputMode("append").format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
