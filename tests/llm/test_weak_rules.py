@@ -64,3 +64,42 @@ def test_no_python_in_the_plan_and_empty(spark):
     assert df.collect() == []
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+@pytest.mark.parametrize("kind", list(weak_rules.KINDS))
+@pytest.mark.parametrize(("share", "good", "bad"), [(0.8, (0.9, 0.85, 0.95), (0.8, 0.7, 0.75)), (0.6, (0.8, 0.9, 0.75), (0.9, 0.8, 0.85)), (0.93, (0.97, 0.99, 0.9), (0.7, 0.95, 0.6))])
+def test_planted_accuracies_are_recovered(spark, kind, share, good, bad):
+    """Votes drawn with known accuracies and rates of abstaining: the estimates find them, and the posterior the classes."""
+    rules, rng, n, votes, truth = weak_rules.KINDS[kind], random.Random(7), 60_000, Counter(), Counter()
+    quiet = {1: (0.05, 0.2, 0.1), -1: (0.3, 0.1, 0.25)}
+    for _ in range(n):
+        z = 1 if rng.random() < share else -1
+        v = tuple(0 if rng.random() < quiet[z][k] else z if rng.random() < (good if z > 0 else bad)[k] else -z for k in range(3))
+        votes[v] += 1
+        truth[v] += z
+    patterns = spark.createDataFrame([(*v, k) for v, k in votes.items()], ", ".join(f"{r} int" for r in rules) + ", n long")
+    row = weak_rules.estimate(patterns, rules, steps=200).first()
+    assert abs(row["share"] - share) < 0.05
+    for k, r in enumerate(rules):
+        assert abs(row[f"good_{r}"] - good[k]) < 0.05 and abs(row[f"bad_{r}"] - bad[k]) < 0.05, r
+        assert abs(row[f"quiet_good_{r}"] - quiet[1][k]) < 0.05 and abs(row[f"quiet_bad_{r}"] - quiet[-1][k]) < 0.05, r
+
+
+def test_every_kind_of_bad_document_goes(spark):
+    """Kinds that never occur together, the rarer of one in forty: each is found, and clean documents stay."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("aeioutrnsl", k=rng.randint(3, 9)))
+    texts = []
+    for k in range(400):
+        own = [word() for _ in range(rng.randint(90, 160))]
+        if k % 40 == 1:
+            own = [w + rng.choice(("###", "$$$", "%%%")) for w in own]
+        if k % 40 == 2:
+            own = [x for w in own for x in (w, "|")]
+        if k % 40 == 3:
+            own = (["BUY NOW!!!", "so cheap!"] * 60) + own[:40]
+        texts.append("\n".join(" ".join(own[i : i + 12]) for i in range(0, len(own), 12)))
+    rows = {r.doc_id: r.kept for r in weak_rules.judge(documents(spark, list(enumerate(texts)))).collect()}
+    assert not any(v for k, v in rows.items() if k % 40 in (1, 2, 3))
+    clean = [v for k, v in rows.items() if k % 40 not in (1, 2, 3)]
+    assert sum(clean) >= 0.99 * len(clean)
