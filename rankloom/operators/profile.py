@@ -79,6 +79,38 @@ def span_problems(df: DataFrame, content: str, spans: str) -> DataFrame:
     return each.groupBy("label").agg(F.count("*").alias("n"), F.count_if(text.strip(found) != text.strip(F.col("t"))).alias("n_broken"))
 
 
+def repaired_spans(df: DataFrame, content: str, spans: str, near: int = 8) -> DataFrame:
+    """content, label, start, end, text, status of each span: ok where its stripped text stands at its offsets (end included), moved to where it stands within a few characters, or lost."""
+    each = df.select(content, F.explode(spans).alias("s")).select(content, "s.label", F.col("s.start").alias("a"), F.col("s.end").alias("b"), text.strip(F.col("s.text")).alias("text"))
+    here = text.strip(F.substr(F.col(content), F.col("a") + 1, F.col("b") - F.col("a") + 1)) == F.col("text")
+    low = F.greatest(F.col("a") - near, F.lit(0))
+    found = F.instr(F.substr(F.col(content), low + 1, F.length("text") + 2 * near), F.col("text"))
+    status = F.when(here, "ok").when(found > 0, "moved").otherwise("lost")
+    start = F.when(here, F.col("a")).when(found > 0, low + found - 1)
+    end = F.when(here, F.col("b")).when(found > 0, low + found - 2 + F.length("text"))
+    return each.select(content, "label", start.cast("int").alias("start"), end.cast("int").alias("end"), "text", status.alias("status"))
+
+
+def bio_tags(df: DataFrame, content: str, spans: str) -> DataFrame:
+    """content, tokens, tags: words between white space, tagged B-, I- or O by the first span (label, start, end included) that they overlap."""
+    words = F.regexp_extract_all(F.col(content), F.lit(r"\S+"), 0)
+    placed = df.select(content, spans, text.once(words).alias("tokens"))
+    # A word starts where the gaps and words before it end.
+    gaps = F.split(F.col(content), r"\S+")
+    step = F.aggregate(
+        F.sequence(F.lit(0), F.size("tokens") - 1), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
+        lambda s, i: F.struct((s["at"] + F.length(F.get(gaps, i)) + F.length(F.get("tokens", i))).alias("at"), F.concat(s["starts"], F.array(s["at"] + F.length(F.get(gaps, i)))).alias("starts")),
+    )
+    placed = placed.withColumn("starts", F.when(F.size("tokens") > 0, step["starts"]).otherwise(F.array().cast("array<int>")))
+
+    def tag(word: Column, start: Column) -> Column:
+        over = F.filter(F.col(spans), lambda x: (x["start"] < start + F.length(word)) & (x["end"] >= start))
+        first = F.get(over, F.lit(0))
+        return F.when(F.size(over) == 0, "O").when(first["start"] >= start, F.concat(F.lit("B-"), first["label"])).otherwise(F.concat(F.lit("I-"), first["label"]))
+
+    return placed.select(content, "tokens", F.zip_with("tokens", "starts", tag).alias("tags"))
+
+
 def residual_counts(df: DataFrame, column: str) -> DataFrame:
     """Matches that should not survive redaction, by class, over all texts."""
     return df.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(f"n_{name}") for name, c in text.residuals(F.col(column)).items()))
@@ -120,6 +152,14 @@ def weighted_coverage(df: DataFrame, known: Column, weight: str) -> DataFrame:
     return df.agg(F.round(F.sum(F.when(known, F.col(weight)).otherwise(0)) / F.sum(weight), 6).alias("coverage"))
 
 
+def build_vocabulary(labels: DataFrame, counts: DataFrame) -> DataFrame:
+    """name, n, provenance: every label and alias (name, aliases as an array) in lower case with how often it is asked for, and what is asked for beside them (item, n)."""
+    names = labels.select(F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).select(F.lower("name").alias("name")).distinct()
+    asked = counts.groupBy(F.lower("item").alias("name")).agg(F.sum("n").alias("n"))
+    known = names.join(asked, "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("n"), F.lit("label").alias("provenance"))
+    return known.unionByName(asked.join(names, "name", "left_anti").select("name", "n", F.lit("asked").alias("provenance")))
+
+
 def vocabulary_membership(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """item, exact, relaxed: in the vocabulary as it is, or every word of it among the vocabulary's words."""
     v = vocabulary.select(F.lower("name").alias("name")).distinct()

@@ -1,8 +1,6 @@
 """Sampling candidates for annotation: quotas by family, spread over bands of a lexical ranking.
 
-Draws are hash orders. Where queries exclude what others took, every candidate is first given to one query (of its own
-keyword before all others), so that queries draw apart from each other and in parallel, with other picks than a
-sequential draw has.
+Draws are hash orders, so the same in any engine and any partitioning.
 """
 
 from __future__ import annotations
@@ -12,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankloom.functions import order
+from rankloom.operators.guards import GuardError
 
 BANDS = ("high", "mid", "low")
 
@@ -54,24 +53,35 @@ def owned(eligible: DataFrame, seed: int) -> DataFrame:
 
 
 def quota_candidates(queries: DataFrame, docs: DataFrame, per_query: int, same_min: int, seed: int) -> DataFrame:
-    """query_id, doc_id, keyword_match: per_query documents of each query, same_min of them of its own keyword if there are so many.
+    """query_id, doc_id, keyword_match: per_query documents of each query, same_min of them of its own keyword if there are so many, the rest of others.
 
-    queries: query_id, keyword; docs: doc_id, keyword. A document is used by one query: one of its own keyword if there
-    is any, drawn by its hash, else any. So all documents of a keyword go to the queries that ask for it, and the rest
-    are shared out among all.
+    queries: query_id, keyword; docs: doc_id, keyword. A document is used by one query: queries draw one after another,
+    in order of id, from what those before them have left. A query can lose no more documents to others than
+    they take in all, so its first few by hash, cut in parallel, are all that the draw has to look at: a batch's
+    queries are a short list, and the draw itself runs over them in one row.
     """
-    seat = lambda by: F.row_number().over(W.partitionBy(*by).orderBy(order.digest(seed, "seat", F.col("query_id")), "query_id")) - 1
-    seats = queries.select("query_id", "keyword", seat(["keyword"]).alias("_own"), seat([F.lit(0)]).alias("_any"))  # a batch's queries, a bounded list
-    sizes = queries.groupBy("keyword").agg(F.count("*").alias("_k"))
-    n = queries.agg(F.count("*").alias("_n"))
-    drawn = order.hash_int(8, seed, "owner", F.col("doc_id")).cast("long")
-    dealt = docs.select("doc_id", "keyword", drawn.alias("_h")).join(sizes, "keyword", "left").crossJoin(n).filter("_n > 0")
-    asked = dealt.filter("_k is not null").withColumn("_own", (F.col("_h") % F.col("_k")).cast("int")).join(seats, ["keyword", "_own"]).select("query_id", "doc_id", F.lit(True).alias("keyword_match"))
-    rest = dealt.filter("_k is null").withColumn("_any", (F.col("_h") % F.col("_n")).cast("int")).join(seats.drop("keyword", "_own"), "_any").select("query_id", "doc_id", F.lit(False).alias("keyword_match"))
-    ranked = asked.unionByName(rest).withColumn("_r", F.row_number().over(W.partitionBy("query_id", "keyword_match").orderBy(order.digest(seed, F.col("query_id"), F.col("doc_id")), "doc_id"))).filter(F.col("_r") <= per_query)
-    took = F.least(F.lit(same_min), F.coalesce(F.max(F.when(F.col("keyword_match"), F.col("_r"))).over(W.partitionBy("query_id")), F.lit(0)))
-    quota = F.when(F.col("keyword_match"), took).otherwise(per_query - took)
-    return ranked.withColumn("_quota", quota).filter(F.col("_r") <= F.col("_quota")).select("query_id", "doc_id", "keyword_match")
+    if same_min > per_query:
+        raise GuardError(f"same_min={same_min} is more than per_query={per_query}")
+    most = queries.count() * per_query
+    seat = F.row_number().over(W.partitionBy(F.lit(0)).orderBy("query_id"))
+    asked = queries.select("query_id", F.col("keyword").alias("_k"), seat.alias("_seat"))
+    pairs = docs.select("doc_id", "keyword").crossJoin(asked).select("_seat", "query_id", "doc_id", (F.col("keyword") == F.col("_k")).alias("_same"))
+    place = F.row_number().over(W.partitionBy("query_id", "_same").orderBy(order.digest(seed, F.col("query_id"), F.col("doc_id")), "doc_id"))
+    near = pairs.withColumn("_r", place).filter(F.col("_r") <= most)
+    listed = lambda same: F.transform(F.array_sort(F.collect_list(F.when(F.col("_same") == same, F.struct("_r", "doc_id")))), lambda x: x["doc_id"])
+    lists = near.groupBy("_seat", "query_id").agg(listed(True).alias("same"), listed(False).alias("off"))
+    one = lists.agg(F.array_sort(F.collect_list(F.struct("_seat", "query_id", "same", "off"))).alias("q"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    none = F.struct(F.array().cast(f"array<{kind}>").alias("used"), F.array().cast(f"array<struct<query_id:{queries.schema['query_id'].dataType.simpleString()},doc_id:{kind},keyword_match:boolean>>").alias("picks"))
+
+    def draw(state, x):
+        free = lambda docs: F.filter(docs, lambda d: ~F.array_contains(state["used"], d))
+        same = F.slice(free(x["same"]), 1, same_min)
+        off = F.slice(free(x["off"]), 1, F.lit(per_query) - F.size(same))
+        named = lambda docs, match: F.transform(docs, lambda d: F.struct(x["query_id"].alias("query_id"), d.alias("doc_id"), F.lit(match).alias("keyword_match")))
+        return F.struct(F.concat(state["used"], same, off).alias("used"), F.concat(state["picks"], named(same, True), named(off, False)).alias("picks"))
+
+    return one.select(F.explode(F.aggregate("q", none, draw)["picks"]).alias("p")).select("p.*")
 
 
 def batch_summary(picks: DataFrame, per_query: int) -> DataFrame:

@@ -63,13 +63,15 @@ def choose_queries(spark, d):
 
 
 def sql_quota(k: str, chosen: str, docs: str, per_query: int, same_min: int, seed: int) -> str:
-    """picks{k}: the quota draw of the queries of one relation from the documents of another."""
-    draw = f"('0x' || substr(sha256('{seed}|owner|' || x.doc_id), 1, 8))::UBIGINT"
-    return f"""seats{k} AS (SELECT query_id, keyword, row_number() OVER (PARTITION BY keyword ORDER BY sha256('{seed}|seat|' || query_id), query_id) - 1 AS own, row_number() OVER (ORDER BY sha256('{seed}|seat|' || query_id), query_id) - 1 AS q, count(*) OVER (PARTITION BY keyword) AS kn, count(*) OVER () AS n FROM {chosen}),
-owned{k} AS (SELECT s.query_id, x.doc_id, true AS keyword_match FROM {docs} x JOIN seats{k} s ON s.keyword = x.keyword AND s.own = {draw} % s.kn
-  UNION ALL SELECT s.query_id, x.doc_id, false FROM {docs} x JOIN seats{k} s ON s.q = {draw} % s.n WHERE x.keyword NOT IN (SELECT keyword FROM seats{k})),
-ranked{k} AS (SELECT *, row_number() OVER (PARTITION BY query_id, keyword_match ORDER BY sha256('{seed}|' || query_id || '|' || doc_id), doc_id) AS r, least({same_min}, count(*) FILTER (WHERE keyword_match) OVER (PARTITION BY query_id)) AS took FROM owned{k}),
-picks{k} AS (SELECT query_id, doc_id, keyword_match FROM ranked{k} WHERE r <= CASE WHEN keyword_match THEN took ELSE {per_query} - took END)"""
+    """picks{k}: the quota draw of the queries of one relation from the documents of another; the statement must be recursive."""
+    free = lambda part: f"[x FOR x IN {part} IF NOT list_contains(used, x)]"
+    return f"""seats{k} AS MATERIALIZED (SELECT query_id, keyword, row_number() OVER (ORDER BY query_id) AS q, count(*) OVER () * {per_query} AS most FROM {chosen}),
+near{k} AS (SELECT s.q, s.query_id, s.most, x.doc_id, s.keyword = x.keyword AS m, row_number() OVER (PARTITION BY s.query_id, s.keyword = x.keyword ORDER BY sha256('{seed}|' || s.query_id || '|' || x.doc_id), x.doc_id) AS r FROM {docs} x CROSS JOIN seats{k} s),
+lists{k} AS MATERIALIZED (SELECT q, query_id, coalesce(list(doc_id ORDER BY r) FILTER (WHERE m AND r <= most), []) AS same, coalesce(list(doc_id ORDER BY r) FILTER (WHERE NOT m AND r <= most), []) AS off FROM near{k} GROUP BY 1, 2),
+draw{k}(q, query_id, used, took, other) AS (SELECT CAST(0 AS BIGINT), (SELECT min(query_id) FROM seats{k}), (SELECT list(doc_id) FROM {docs} WHERE false), (SELECT list(doc_id) FROM {docs} WHERE false), (SELECT list(doc_id) FROM {docs} WHERE false)
+  UNION ALL SELECT q, query_id, list_concat(list_concat(used, took), other), took, other FROM (SELECT q, query_id, used, took, {free("off")}[1:{per_query} - len(took)] AS other FROM (
+    SELECT l.q, l.query_id, coalesce(d.used, []) AS used, l.off, [x FOR x IN l.same IF NOT list_contains(coalesce(d.used, []), x)][1:{same_min}] AS took FROM draw{k} d JOIN lists{k} l ON l.q = d.q + 1))),
+picks{k} AS (SELECT query_id, unnest(took) AS doc_id, true AS keyword_match FROM draw{k} WHERE q > 0 UNION ALL SELECT query_id, unnest(other), false FROM draw{k} WHERE q > 0)"""
 
 
 _QUOTA = f"{_CHOSEN}, {sql_quota('', 'chosen', 'cd', 5, 4, R.SEED)}"
@@ -79,12 +81,12 @@ def _picks(spark, d) -> DataFrame:
     return sampling.quota_candidates(_chosen(spark, d), R.cell_documents(spark, d).select("doc_id", "keyword"), 5, 4, R.SEED)
 
 
-@query("candidates_quota", f"WITH {_QUOTA} SELECT query_id, doc_id, keyword_match FROM picks")
+@query("candidates_quota", f"WITH RECURSIVE {_QUOTA} SELECT query_id, doc_id, keyword_match FROM picks")
 def candidates_quota(spark, d):
     return _picks(spark, d)
 
 
-@query("batch_summary", f"""WITH {_QUOTA}, b AS (SELECT *, query_id % 2 + 1 AS batch FROM picks), q AS (SELECT batch, query_id, count(*) AS n FROM b GROUP BY 1, 2)
+@query("batch_summary", f"""WITH RECURSIVE {_QUOTA}, b AS (SELECT *, query_id % 2 + 1 AS batch FROM picks), q AS (SELECT batch, query_id, count(*) AS n FROM b GROUP BY 1, 2)
 SELECT b.batch, count(*) AS pairs, count(DISTINCT doc_id) AS documents, round(avg(CASE WHEN keyword_match THEN 1.0 ELSE 0.0 END), 6) AS match_rate, any_value(s.queries) AS queries, any_value(s.short_queries) AS short_queries
 FROM b JOIN (SELECT batch, count(*) AS queries, count(*) FILTER (WHERE n < 5) AS short_queries FROM q GROUP BY 1) s ON s.batch = b.batch GROUP BY 1""")
 def batch_summary(spark, d):

@@ -189,6 +189,27 @@ def span_offsets(spark, d):
     return profile.span_problems(docs.select(F.col("text").alias("content"), F.array(span).alias("spans")), "content", "spans")
 
 
+@query("span_repair", """WITH s AS (SELECT lang AS label, text AS c, substr(text, 6, 10) AS t, CASE WHEN doc_id % 7 = 0 THEN 6 ELSE 5 END AS a, CASE WHEN doc_id % 7 = 0 THEN 15 ELSE 14 END AS b FROM documents WHERE length(text) >= 40),
+x AS (SELECT *, regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS p FROM s), y AS (SELECT *, regexp_replace(substr(c, a + 1, b - a + 1), '^\\s+|\\s+$', '', 'g') = p AS here, instr(substr(c, greatest(a - 8, 0) + 1, length(p) + 16), p) AS f FROM x)
+SELECT label, CASE WHEN here THEN 'ok' WHEN f > 0 THEN 'moved' ELSE 'lost' END AS status, count(*) AS n, CAST(sum(CASE WHEN here THEN a WHEN f > 0 THEN greatest(a - 8, 0) + f - 1 END) AS BIGINT) AS starts FROM y GROUP BY 1, 2""".replace("\\\\", "\\"))
+def span_repair(spark, d):
+    """Spans cut from the texts themselves, every seventh shifted by one, put back where their text stands."""
+    off = F.when(F.col("doc_id") % 7 == 0, 1).otherwise(0)
+    docs = R.table(spark, d, "documents").filter("length(text) >= 40")
+    span = F.struct(F.col("lang").alias("label"), (off + 5).alias("start"), (off + 14).alias("end"), F.substring("text", 6, 10).alias("text"))
+    found = profile.repaired_spans(docs.select(F.col("text").alias("content"), F.array(span).alias("spans")), "content", "spans")
+    return found.groupBy("label", "status").agg(F.count("*").alias("n"), F.sum("start").alias("starts"))
+
+
+@query("vocabulary_build", """WITH names AS (SELECT DISTINCT lower(unnest([n_name, split_part(n_name, ' ', 1)])) AS name FROM nation), asked AS (SELECT lower(item) AS name, CAST(sum(n) AS BIGINT) AS n FROM (SELECT split_part(p_name, ' ', 1) AS item, count(*) AS n FROM part GROUP BY 1 UNION ALL SELECT n_name, n_nationkey FROM nation) GROUP BY 1)
+SELECT name, coalesce(n, 0) AS n, 'label' AS provenance FROM names LEFT JOIN asked USING (name) UNION ALL SELECT name, n, 'asked' FROM asked ANTI JOIN names USING (name)""")
+def vocabulary_build(spark, d):
+    nation = R.table(spark, d, "nation")
+    labels = nation.select(F.col("n_name").alias("name"), F.array(F.split_part(F.col("n_name"), F.lit(" "), F.lit(1))).alias("aliases"))
+    asked = R.table(spark, d, "part").groupBy(F.split_part(F.col("p_name"), F.lit(" "), F.lit(1)).alias("item")).agg(F.count("*").alias("n"))
+    return profile.build_vocabulary(labels, asked.unionByName(nation.select(F.col("n_name").alias("item"), F.col("n_nationkey").cast("long").alias("n"))))
+
+
 @query("skill_freq", "WITH x AS (SELECT unnest([event_type, 'k' || user_id % 5]) AS item FROM events) SELECT item, count(*) AS n FROM x GROUP BY 1 ORDER BY n DESC, item LIMIT 8")
 def skill_freq(spark, d):
     cell = F.format_string("['%s', 'k%d']", "event_type", F.col("user_id") % 5)

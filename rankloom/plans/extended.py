@@ -30,17 +30,17 @@ def _campaign(spark, d):
     return campaign.replay(R.cell_queries(spark, d).select("query_id", "keyword"), R.cell_documents(spark, d).select("doc_id", "keyword"), SPECS)
 
 
-@query("campaign_replay", f"WITH {SQL_CAMPAIGN} SELECT CAST(batch AS INTEGER) AS batch, query_id, doc_id, keyword_match, stratum FROM campaign")
+@query("campaign_replay", f"WITH RECURSIVE {SQL_CAMPAIGN} SELECT CAST(batch AS INTEGER) AS batch, query_id, doc_id, keyword_match, stratum FROM campaign")
 def campaign_replay(spark, d):
     return _campaign(spark, d)
 
 
-@query("campaign_holdout", f"WITH {SQL_CAMPAIGN} SELECT 'query' AS kind, query_id AS id FROM (SELECT DISTINCT query_id FROM campaign) UNION ALL SELECT 'document', doc_id FROM (SELECT doc_id FROM cd WHERE keyword IN (SELECT keyword FROM cq WHERE query_id IN (SELECT query_id FROM campaign)) UNION SELECT doc_id FROM campaign)")
+@query("campaign_holdout", f"WITH RECURSIVE {SQL_CAMPAIGN} SELECT 'query' AS kind, query_id AS id FROM (SELECT DISTINCT query_id FROM campaign) UNION ALL SELECT 'document', doc_id FROM (SELECT doc_id FROM cd WHERE keyword IN (SELECT keyword FROM cq WHERE query_id IN (SELECT query_id FROM campaign)) UNION SELECT doc_id FROM campaign)")
 def campaign_holdout(spark, d):
     return campaign.holdout(shared.kept(_campaign(spark, d), "campaign"), R.cell_queries(spark, d).select("query_id", "keyword"), R.cell_documents(spark, d).select("doc_id", "keyword"))
 
 
-@query("stratum_summary", f"""WITH {SQL_CAMPAIGN}, per AS (SELECT stratum, batch, query_id, count(*) AS n, count(*) FILTER (WHERE keyword_match) AS m FROM campaign GROUP BY 1, 2, 3)
+@query("stratum_summary", f"""WITH RECURSIVE {SQL_CAMPAIGN}, per AS (SELECT stratum, batch, query_id, count(*) AS n, count(*) FILTER (WHERE keyword_match) AS m FROM campaign GROUP BY 1, 2, 3)
 SELECT c.stratum, count(*) AS pairs, count(DISTINCT doc_id) AS documents, round(avg(CASE WHEN keyword_match THEN 1.0 ELSE 0.0 END), 6) AS match_rate, any_value(batches) AS batches, any_value(queries) AS queries, any_value(missing) AS missing, any_value(short_same) AS short_same
 FROM campaign c JOIN (SELECT stratum, count(DISTINCT batch) AS batches, count(*) AS queries, CAST(sum(4 - n) AS BIGINT) AS missing, count(*) FILTER (WHERE m < 2) AS short_same FROM per GROUP BY 1) p ON p.stratum = c.stratum GROUP BY c.stratum""")
 def stratum_summary(spark, d):

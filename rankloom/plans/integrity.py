@@ -181,7 +181,7 @@ bad AS MATERIALIZED (SELECT * FROM pairs_ UNION ALL SELECT pair_id || 'b', query
 held AS (SELECT DISTINCT doc_id FROM campaign WHERE doc_id % 5 <> 0), listed AS (SELECT DISTINCT doc_id FROM campaign WHERE doc_id % 7 = 0), specs AS (SELECT * FROM (VALUES (1, 'generic'), (2, 'targeted'), (3, 'generic')) AS v(batch, stratum)), labelled AS (SELECT pair_id FROM pairs_ UNION SELECT 'gone__' || doc_id FROM pairs_ WHERE doc_id % 6 = 0)"""
 
 
-@query("check_campaign", f"WITH {_CAMPAIGN} " + _counts(
+@query("check_campaign", f"WITH RECURSIVE {_CAMPAIGN} " + _counts(
     campaign__eval_region_only=_n("bad JOIN regions USING (doc_id) WHERE region <> 'eval'"), campaign__nothing_of_the_shortlist=_n("bad SEMI JOIN listed USING (doc_id)"), campaign__all_held_out=_n("bad ANTI JOIN held USING (doc_id)"),
     campaign__the_holdout_is_wider_than_the_pairs=_n("(SELECT 1 WHERE (SELECT count(*) FROM held) <= (SELECT count(DISTINCT doc_id) FROM bad))"), campaign__unique_pairs=_twice("bad", "pair_id"), campaign__every_batch_is_declared=_n("bad ANTI JOIN specs USING (batch)"),
     campaign__no_document_in_two_batches=_n("(SELECT doc_id FROM bad GROUP BY 1 HAVING count(DISTINCT batch) > 1)"), campaign__strata_are_those_of_their_batches=_n("bad JOIN specs USING (batch) WHERE bad.stratum <> specs.stratum"),

@@ -5,10 +5,14 @@ import os
 import duckdb
 import pytest
 
-from rankloom.plans import annotate, catalog, corpus, retrieval  # noqa: F401
+from rankloom.plans import annotate, catalog, corpus, extended, integrity, judging, retrieval  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
-QUICK = ("id_mint", "doc_split", "pair_split", "cv_folds", "pools_nested", "rank_pool", "ndcg_at_k", "kappa_pairwise", "confusion", "outstanding", "serve_order", "queue_build", "collect_parse", "prefix_derivative", "banded_pick", "golden_diff", "text_assembly")
+#: Queries that need more rows than the smallest tables have.
+LARGER = {"campaign_replay", "campaign_holdout", "stratum_summary", "check_campaign"}
+#: Compared by the driver alone: slow, or one of several that read the same relation.
+SLOW = {"check_clean", "pool_grid", "pool_exposure", "metric_grid", "attainable_share", "pools_with_text", "local_tfidf", "precision_at_k", "recall_at_k", "split_survey", "ceilings", "attainability", "judgement_overlay", "pool_summary", "query_metrics", "tfidf_cosine", "overall_report", "topk_exposure", "random_scores"}
+NAMES = sorted(set(catalog.oracle_sql()) - LARGER - SLOW)
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="the driver's tables are not here")
 
@@ -21,7 +25,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", NAMES)
 def test_equals_twin(spark, con, name):
     df = catalog.queries()[name](spark, DIR)
     columns = sorted(df.columns)

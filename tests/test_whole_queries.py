@@ -26,7 +26,7 @@ def test_prefix_derivatives_of_all_whole_texts(spark, tmp_path):
         first.setdefault(norm[i], i)
     want = sorted((i, r) for i, t in norm.items() for ref, r in first.items() if ref and t.startswith(ref) and i != r)
     assert any(r % 10 for _, r in want) and any(len(norm[r]) > 120 for _, r in want)
-    assert sorted(map(tuple, catalog.queries()["prefix_derivative_whole"](spark, str(tmp_path)).select("doc_id", "ref_id").collect())) == want
+    assert sorted(map(tuple, catalog.queries()["prefix_derivative"](spark, str(tmp_path)).select("doc_id", "ref_id").collect())) == want
 
 
 def test_span_offsets_hands_on_whole_texts(spark, tmp_path, monkeypatch):
@@ -61,5 +61,5 @@ def test_banded_picks_of_all_queries(spark, tmp_path):
             if slot not in slots and rest:
                 slots[slot] = rest.pop(0)
         want += [(q, c, s, band, slot) for slot, (_, c, s, band) in slots.items()]
-    got = catalog.queries()["banded_pick_whole"](spark, str(tmp_path)).select("query_id", "doc_id", "score", "band", "slot")
+    got = catalog.queries()["banded_pick"](spark, str(tmp_path)).select("query_id", "doc_id", "score", "band", "slot")
     assert sorted(map(tuple, got.collect())) == sorted(want) and len({w[0] for w in want}) == 25
