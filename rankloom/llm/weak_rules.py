@@ -23,8 +23,6 @@ A posterior of exactly ``least`` is kept. Other columns are not looked at.
 
 from __future__ import annotations
 
-import string
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,11 +35,7 @@ STRENGTH = 0.002
 KINDS = {"repetition": ("repeats", "lines", "variety"), "loudness": ("shouting", "capitals", "bangs"), "noise": ("symbols", "runs", "signs"), "shape": ("length", "word_chars", "letters")}
 RULES = tuple(r for rules in KINDS.values() for r in rules)
 SYMBOLS = "#*$%&|<>"
-#: Digits and ASCII punctuation: what letters are not.
-MARKS = "0123456789!\"'()+,-./:;=?@[\\]^_`{}~" + SYMBOLS
-#: The same characters as a pattern, in an SQL string.
-_SQL_MARKS = r"""[0-9!"''()+,./:;=?@\[\\\]^_`{}~#*$%&|<>-]"""
-_GAP = r"[\x20\x09-\x0D]+"
+_GAP, _LETTER = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
 
 
 def _repeat_words(words: Column, n: Column) -> Column:
@@ -58,12 +52,12 @@ def _cover(at: Column) -> Column:
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_shouts, n_lines, n_runs, n_signs, n_marks, n_distinct, n_capitals, n_bangs of every document."""
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_shouts, n_lines, n_runs, n_signs, n_digits, n_distinct, n_capitals, n_bangs of every document."""
     text = common.text_or_empty()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.withColumn("words", F.filter(F.split("text", _GAP), lambda w: w != ""))
     # Lines with a word: an empty or blank line has nothing but separators.
-    rows = rows.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, common.SEPARATORS, "")) > 0))
+    rows = rows.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(_LETTER)))
     rows = rows.withColumn("n", F.size("words"))
     rows = rows.withColumn("windows", _repeat_words(F.col("words"), F.col("n")))
     # Equal windows stand side by side once sorted; each step is a column of its own, so that it is evaluated once.
@@ -74,23 +68,23 @@ def measures(docs: DataFrame) -> DataFrame:
     equal = F.zip_with(F.slice("placed", 1, m), F.slice("placed", 2, m), lambda a, b: F.when(a["w"] == b["w"], F.array(a["i"], b["i"])))
     rows = rows.withColumn("at", F.when(F.col("placed").isNull(), F.array().cast("array<int>")).otherwise(F.sort_array(F.array_distinct(F.flatten(F.array_compact(equal))))))
     plain = F.length("text")
-    rows = rows.withColumn("n_symbols", (plain - F.length(F.translate("text", SYMBOLS, ""))).cast("long"))
+    rows = rows.withColumn("n_symbols", F.regexp_count("text", F.lit(f"[{SYMBOLS}]")).cast("long"))
     some = F.col("n_symbols") > 0  # few texts have any, so the others are not searched again
     signs = sum((F.contains("text", F.lit(c)).cast("int") for c in SYMBOLS), F.lit(0))
     return rows.select(
         "doc_id",
         F.col("n").cast("long").alias("n_words"),
-        F.length(F.translate("text", common.SEPARATORS, "")).cast("long").alias("word_chars"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         _cover(F.col("at")).cast("long").alias("n_repeat_words"),
-        (plain - F.length(F.translate("text", "!", ""))).cast("long").alias("n_shouts"),
+        (plain - F.length(F.replace(F.col("text"), F.lit("!"), F.lit("")))).cast("long").alias("n_shouts"),
         F.size("lines").cast("long").alias("n_lines"),
         F.when(some, F.regexp_count("text", F.lit("[#*$%&|<>]{2,}"))).otherwise(0).cast("long").alias("n_runs"),
         F.when(some, signs).otherwise(0).cast("long").alias("n_signs"),
-        (plain - F.length(F.translate("text", MARKS, ""))).cast("long").alias("n_marks"),
+        F.regexp_count("text", F.lit("[0-9]")).cast("long").alias("n_digits"),
         F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
-        (plain - F.length(F.translate("text", string.ascii_uppercase, ""))).cast("long").alias("n_capitals"),
+        F.regexp_count("text", F.lit("[A-Z]")).cast("long").alias("n_capitals"),
         F.when(F.contains("text", F.lit("!!")), F.regexp_count("text", F.lit("!{2,}"))).otherwise(0).cast("long").alias("n_bangs"),
     )
 
@@ -114,7 +108,7 @@ def votes() -> dict[str, Column]:
         "bangs": _vote((F.col("n_shouts") == 0) & (n > 0), (F.col("n_bangs") > 0) & (20 * F.col("n_bangs") >= n)),
         "runs": _vote((F.col("n_symbols") == 0) & (n > 0), (F.col("n_runs") > 0) & (50 * F.col("n_runs") >= n)),
         "signs": _vote((F.col("n_symbols") == 0) & (n > 0), F.col("n_signs") >= 3),
-        "letters": _vote((5 * F.col("n_marks") <= F.col("word_chars")) & (n > 0), 2 * F.col("n_marks") > F.col("word_chars")),
+        "letters": _vote((5 * F.col("n_digits") <= F.col("word_chars")) & (n > 0), 2 * F.col("n_digits") > F.col("word_chars")),
     }
 
 
@@ -231,7 +225,7 @@ m AS MATERIALIZED (
   SELECT r, doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars,
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
     CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, length(text) - length(replace(text, '!', '')) AS n_shouts, coalesce(n_lines, 0) AS n_lines,
-    len(regexp_extract_all(text, '[#*$%&|<>]{{2,}}')) AS n_runs, {signs} AS n_signs, length(text) - length(regexp_replace(text, '{_SQL_MARKS}', '', 'g')) AS n_marks,
+    len(regexp_extract_all(text, '[#*$%&|<>]{{2,}}')) AS n_runs, {signs} AS n_signs, length(text) - length(regexp_replace(text, '[0-9]', '', 'g')) AS n_digits,
     coalesce(n_distinct, 0) AS n_distinct, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_capitals, len(regexp_extract_all(text, '!{{2,}}')) AS n_bangs
   FROM d LEFT JOIN c USING (r) LEFT JOIN cover USING (r) LEFT JOIN l USING (r)),
 v AS MATERIALIZED (
@@ -244,7 +238,7 @@ v AS MATERIALIZED (
     CASE WHEN 5 * n_shouts >= n_words THEN -1 WHEN 200 * n_shouts <= n_words AND n_words > 0 THEN 1 ELSE 0 END AS shouting,
     CASE WHEN n_runs > 0 AND 50 * n_runs >= n_words THEN -1 WHEN n_symbols = 0 AND n_words > 0 THEN 1 ELSE 0 END AS runs,
     CASE WHEN n_signs >= 3 THEN -1 WHEN n_symbols = 0 AND n_words > 0 THEN 1 ELSE 0 END AS signs,
-    CASE WHEN 2 * n_marks > m.word_chars THEN -1 WHEN 5 * n_marks <= m.word_chars AND n_words > 0 THEN 1 ELSE 0 END AS letters,
+    CASE WHEN 2 * n_digits > m.word_chars THEN -1 WHEN 5 * n_digits <= m.word_chars AND n_words > 0 THEN 1 ELSE 0 END AS letters,
     CASE WHEN n_distinct * n_distinct < 10 * n_words THEN -1 WHEN n_distinct * n_distinct >= 25 * n_words AND n_words > 0 THEN 1 ELSE 0 END AS variety,
     CASE WHEN 2 * n_capitals > m.word_chars THEN -1 WHEN 5 * n_capitals <= m.word_chars AND n_words > 0 THEN 1 ELSE 0 END AS capitals,
     CASE WHEN n_bangs > 0 AND 20 * n_bangs >= n_words THEN -1 WHEN n_shouts = 0 AND n_words > 0 THEN 1 ELSE 0 END AS bangs

@@ -76,3 +76,34 @@ def test_edges(spark):
     assert quality.score(documents(spark, []), model).collect() == []
     assert quality.train(docs, spark.createDataFrame([(1, 1, 0), (2, 1, 0)], LABELS), most_labels=1) is not None
     assert docs.filter(F.lit(True) & quality.kept(None, docs)).count() == 4
+
+
+def test_query_equals_plain_python(spark):
+    """Token sets, grades, the fit and the scores of the whole query, from lists in plain Python."""
+    import re
+    import zlib
+
+    rng = random.Random(11)
+    rows = corpus(rng, 300)
+    labels = [(i, *g) for i, _, g in rows if i % 3] + [(4, 0, 0), (7, None, 1), (9999, 1, 0)]
+    docs = documents(spark, [(i, t) for i, t, _ in rows])
+    got = {r.doc_id: r for r in quality.score(docs, quality.train(docs, spark.createDataFrame(labels, LABELS))).collect()}
+
+    def places(t):
+        own = t.split()
+        lines = [x for x in t.split("\n") if x]
+        shares = {"capitals": sum(w.isupper() for w in own) / len(own), "repeats": sum(own[k] == own[k + 1] for k in range(len(own) - 1)) / len(own), "lines": 1 - len(set(lines)) / len(lines), "symbols": sum(not w[-1].isalnum() and w[-1] not in ".,;:?" for w in own) / len(own)}
+        found = set(re.findall(r"[^\W\d_]+|\d+|[^\w\s]+|_+", t.lower())) | {f"<{k} {s}>" for k, x in shares.items() for s in (0.05, 0.1, 0.2, 0.4, 0.7) if x > s}
+        return sorted({zlib.crc32(x.encode()) % quality.DIMENSIONS for x in found})
+
+    grades = {}
+    for i, q, t in labels:
+        if q is not None and i < 300:
+            grades[i] = min(grades.get(i, 2), 0 if t else 2 if q else 1)
+    text = {i: t for i, t, _ in rows}
+    model = quality.fit([np.array(places(text[i]), np.int32) for i in sorted(grades)], np.array([grades[i] for i in sorted(grades)]))
+    for i, t in text.items():
+        s = sum(float(model.weights[k]) for k in places(t))
+        tails = [1 / (1 + np.exp(x - s)) for x in model.thresholds]
+        assert abs(got[i].expected_grade - sum(tails)) < 2e-6 and abs(got[i].p_top - tails[1]) < 2e-6
+        assert got[i].kept == (tails[1] >= 0.5) or abs(tails[1] - 0.5) < 1e-6
