@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankloom.functions import text
@@ -11,7 +10,9 @@ from rankloom.functions import text
 
 def frequencies(df: DataFrame, *by: str, top: int | None = None) -> DataFrame:
     """by, n, share of all rows; the most frequent first if top is given."""
-    out = df.groupBy(*by).agg(F.count("*").alias("n")).withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy(F.lit(0))), 6))
+    out = df.groupBy(*by).agg(F.count("*").alias("n"))
+    total = out.agg(F.sum("n").alias("_all"))  # one row
+    out = out.crossJoin(F.broadcast(total)).withColumn("share", F.round(F.col("n") / F.col("_all"), 6)).drop("_all")
     return out if top is None else out.orderBy(F.desc("n"), *by).limit(top)
 
 

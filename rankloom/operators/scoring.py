@@ -1,7 +1,8 @@
 """Relational TF-IDF and BM25: fits are aggregates over exploded terms, scores are term joins.
 
-Documents are tokenised once, into a term table in the shared folder that statistics and scores are read from. Term
-tables are cut to the terms that can matter before pairs are formed.
+For BM25 documents are tokenised once, into a term table in the shared folder that statistics and scores are read from;
+for TF-IDF twice, once for the vocabulary and once for weights within it, as a table of all runs of words would be
+larger than the texts. Term tables are cut to the terms that can matter before pairs are formed.
 """
 
 from __future__ import annotations
