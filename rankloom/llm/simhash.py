@@ -15,7 +15,10 @@ by the same fourteen blocks over the nibbles of its other four bytes, which leav
 task holds exceeds 65,536 distinct fingerprints.
 
 Nulls: a null or blank text has fingerprint zero and links like any other; null doc_ids are kept and count as no
-candidate for the smallest id of a component. Repeated rows give one result each. An empty table gives no rows.
+candidate for the smallest id of a component. Repeated rows give one result each. An empty table gives no rows. A very
+long text is hashed whole, its bits counted in slices. ``deduplicate`` keeps the document with the smallest id of each
+component, of several with that id the one whose text has the smallest hash, and of rows equal in both the one whose
+columns have the smallest hash; all its columns stay, whatever their names.
 """
 
 from __future__ import annotations
