@@ -10,7 +10,8 @@ not with the whole page as context.
 
 The labeller is trained on at most ``most_pages`` pages (default 250, the first by a hash of their id, up to 60,000
 characters each) and variants of them with furniture moved in and containers renamed. Labels come from plain rules
-over element and class names, which the network learns to apply where names are missing or unknown. Everything else
+over element and class names. Each training page is there a second time without any names but with the same labels, so
+that the network learns what main text is by order, length, links and words where names are missing. Everything else
 covers all pages and whole texts; a page of any number of blocks is read in full.
 
 Nulls: a null or empty html has empty text; null page_ids and urls are kept; repeated rows give one result each. A
@@ -441,14 +442,35 @@ def variant(page: str, rng: random.Random) -> str:
     return page
 
 
+_NAMED = re.compile(r"<(/?)(?:article|main|nav|header|footer|aside|section|form|menu|dialog|fieldset)\b[^>]*>", re.I)
+_NAMES = re.compile(r"(<[a-z][^<>]*?)\s(?:class|id|role)\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+
+
+def nameless(page: str) -> str:
+    """A page whose containers are all plain and whose elements have no class, id or role: blocks stay as they are, names go."""
+    page, before = _NAMED.sub(r"<\1div>", page), None
+    while page != before:
+        page, before = _NAMES.sub(r"\1", page), page
+    return page
+
+
 def train_labeller(sample: list[str], seed: int = 0) -> Labeller:
-    """Fit on pages and two variants of each."""
+    """Fit on pages, two variants of each, and the same without names, whose labels are those of the named page."""
     rng = random.Random(seed)
-    found = [parse(p) for page in sample for p in (page, variant(page, rng), variant(page, rng))]
-    found = [f for f in found if f]
+    found, labels = [], []
+    for page in sample:
+        for p in (page, variant(page, rng), variant(page, rng)):
+            own, bare = parse(p), parse(nameless(p))
+            y = np.array([rule(b) for b in own], np.float32)
+            if own:
+                found.append(vectors(own))
+                labels.append(y)
+            if own and [b.text for b in bare] == [b.text for b in own] and y.any():
+                found.append(vectors(bare))
+                labels.append(y)
     model = Labeller(seed)
     if found:
-        model.fit([vectors(f) for f in found], [np.array([rule(b) for b in f], np.float32) for f in found], seed=seed)
+        model.fit(found, labels, seed=seed)
     return model
 
 
