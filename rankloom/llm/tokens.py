@@ -67,33 +67,41 @@ _BYTE_LETTERS = _byte_letters()
 SHOWN_SPACE = chr(_BYTE_LETTERS[0x20])
 
 
-class _Memo(dict):
-    """Piece to ids; a missing piece comes from the generation before or from the library.
+class _Memo:
+    """Ids of short pieces, in plain dictionaries: what a text's pieces miss there is encoded one by one.
 
-    When this generation is full it becomes the one before, so frequent pieces stay and rare ones go.
+    When the young generation is full it becomes the old one, so frequent pieces stay and rare ones go.
     """
 
     def __init__(self, tokenizer, room: int, special: list[str]):
-        super().__init__()
-        self.tokenizer, self.model, self.room, self.before, self.special = tokenizer, tokenizer.model, room, {}, frozenset(special)
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.before.get(piece)
-        if ids is None:
-            ids = self.encoded(piece)
+        self.tokenizer, self.model, self.room, self.special = tokenizer, tokenizer.model, room, frozenset(special)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def joined(self, pieces: list[str], pre_tokens: bool = False) -> bytes:
+        """Ids of pieces in a row; pre_tokens says that they are pre-tokens of Latin text already."""
+        found = list(map(self.young.get, pieces))
+        if None in found:
+            for k, ids in enumerate(found):
+                if ids is None:
+                    found[k] = self.young.get(pieces[k]) or self.missed(pieces[k], pre_tokens)
+        return b"".join(found)
+
+    def missed(self, piece: str, pre_token: bool) -> bytes:
+        ids = self.old.get(piece) or self.encoded(piece, pre_token)
         if len(piece) <= MEMO_CHARS and self.room:
-            if len(self) >= self.room:
-                self.before = dict(self)
-                self.clear()
-            self[piece] = ids
+            if len(self.young) >= self.room:
+                self.old, self.young = self.young, {}
+            self.young[piece] = ids
         return ids
 
-    def encoded(self, piece: str) -> bytes:
-        if len(piece) > MEMO_CHARS or piece in self.special or not _LATIN.fullmatch(piece):
+    def encoded(self, piece: str, pre_token: bool) -> bytes:
+        if len(piece) > MEMO_CHARS or not pre_token and (piece in self.special or not _LATIN.fullmatch(piece)):
             return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
-        parts = _PRE_TOKEN.findall(piece)
-        if len(parts) > 1:  # its words may be known from elsewhere
-            return b"".join(map(self.__getitem__, parts))
+        if not pre_token:
+            parts = _PRE_TOKEN.findall(piece)
+            if len(parts) > 1:  # its words may be known from elsewhere
+                return self.joined(parts, True)
         shown = piece.replace(" ", SHOWN_SPACE) if piece.isascii() and "\n" not in piece else piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
         return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
@@ -124,8 +132,10 @@ class Encoder:
         if not self.by_piece:
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if any(s in text for s in self.special):
-            return b"".join(map(self.memo.__getitem__, self.pieces(text)))
-        return b"".join(map(self.memo.__getitem__, (_PRE_TOKEN if _LATIN.fullmatch(text) else _PIECE).findall(text)))
+            return self.memo.joined(self.pieces(text))
+        if _LATIN.fullmatch(text):
+            return self.memo.joined(_PRE_TOKEN.findall(text), True)
+        return self.memo.joined(_PIECE.findall(text))
 
 
 @functools.cache
