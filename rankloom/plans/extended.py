@@ -27,7 +27,10 @@ campaign AS (SELECT * FROM b1 UNION ALL SELECT * FROM b2 UNION ALL SELECT * FROM
 
 
 def _campaign(spark, d):
-    return campaign.replay(R.cell_queries(spark, d).select("query_id", "keyword"), R.cell_documents(spark, d).select("doc_id", "keyword"), SPECS)
+    queries = R.cell_queries(spark, d).select("query_id", "keyword")
+    known = {r["keyword"] for r in queries.select("keyword").distinct().collect()}  # nations
+    specs = [spec | {"keywords": [k for k in spec["keywords"] if k in known]} if "keywords" in spec else spec for spec in SPECS]  # a small table lacks some
+    return campaign.replay(queries, R.cell_documents(spark, d).select("doc_id", "keyword"), specs)
 
 
 @query("campaign_replay", f"WITH RECURSIVE {SQL_CAMPAIGN} SELECT CAST(batch AS INTEGER) AS batch, query_id, doc_id, keyword_match, stratum FROM campaign")
