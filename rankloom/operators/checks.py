@@ -29,21 +29,37 @@ def split_checks(assigned: DataFrame, universe: DataFrame, pairs: DataFrame, reb
 
 
 def pool_checks(pools: DataFrame, judged: DataFrame, universe: DataFrame, targets: dict[str, int | None]) -> list[DataFrame]:
+    """pools: pool_variant, query_id, doc_id, source; judged: query_id, doc_id; universe: doc_id.
+
+    Pool rows and judged pairs are dealt once by their pair and counted there, so no pool is joined with another or sent
+    to the driver; keys without a value match nothing, as in a join.
+    """
     spark = pools.sparkSession
     aims = F.broadcast(spark.createDataFrame(list(targets.items()), "pool_variant string, _target int"))
     depth = pools.groupBy("pool_variant", "query_id").agg(F.count("*").alias("n"), F.count_if(F.col("source") == "labelled").alias("own")).join(aims, "pool_variant")
     total = universe.agg(F.count("*").alias("_all"))
     expected = F.least(F.greatest("own", F.coalesce("_target", F.lit(1 << 30))), F.col("_all"))
-    distractors = pools.filter("source = 'distractor'")
+    strays = pools.groupBy("doc_id").agg(F.count("*").alias("n")).join(universe.hint("merge"), "doc_id", "left_anti")
     names = list(targets)
-    nested = [pools.filter(F.col("pool_variant") == a).select("query_id", "doc_id").join(pools.filter(F.col("pool_variant") == b).select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti") for a, b in zip(names, names[1:], strict=False)]
+    own = pools.select("query_id", "doc_id", "pool_variant", (F.col("source") == "distractor").alias("_other"), F.lit(True).alias("_pool"))
+    asked = judged.select("query_id", "doc_id", F.lit(None).cast("string").alias("pool_variant"), F.lit(False).alias("_other"), F.lit(False).alias("_pool"))
+    dealt = own.unionByName(asked).repartition("query_id", "doc_id")
+    each = dealt.groupBy("query_id", "doc_id", "_pool", "pool_variant").agg(F.count("*").alias("n"), F.count_if("_other").alias("_d"))
+    within = [F.sum(F.when(F.col("_pool") & (F.col("pool_variant") == v), F.col("n")).otherwise(0)).alias(f"_n{k}") for k, v in enumerate(names)]
+    by_pair = each.groupBy("query_id", "doc_id").agg(
+        F.sum("_d").alias("_d"), F.sum(F.when(F.col("_pool"), F.col("n")).otherwise(0)).alias("_p"), F.sum(F.when(F.col("_pool"), 0).otherwise(F.col("n"))).alias("_j"), F.count_if(F.col("_pool") & (F.col("n") > 1)).alias("_twice"), *within,
+    )
+    has = lambda c: (F.col(c) > 0) & F.col("query_id").isNotNull() & F.col("doc_id").isNotNull()
+    counts = {
+        "pools: no distractor is judged": F.when(has("_j"), F.col("_d")), "pools: every judged pair is there": F.when(~has("_p"), F.col("_j")), "pools: no candidate twice": F.col("_twice"),
+        **{f"pools: {a} is within {b}": F.when(~has(f"_n{k + 1}"), F.col(f"_n{k}")) for k, (a, b) in enumerate(zip(names, names[1:], strict=False))},
+    }
+    found = by_pair.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(name) for name, n in counts.items()))
+    rows = F.array(*(F.struct(F.lit(name).alias("check"), (F.col(f"`{name}`") == 0).alias("ok"), F.col(f"`{name}`").alias("n_violations")) for name in counts))
     return [
-        check("pools: no distractor is judged", distractors.join(judged, ["query_id", "doc_id"], "left_semi")),
-        check("pools: candidates come from the universe", pools.join(universe, "doc_id", "left_anti")),
-        check("pools: every judged pair is there", judged.join(pools, ["query_id", "doc_id"], "left_anti")),
+        found.select(F.inline(rows)),
+        strays.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_violations")).select(F.lit("pools: candidates come from the universe").alias("check"), (F.col("n_violations") == 0).alias("ok"), "n_violations"),
         check("pools: depth", depth.crossJoin(F.broadcast(total)).filter(F.col("n") != expected)),
-        check("pools: no candidate twice", duplicate_keys(pools, "pool_variant", "query_id", "doc_id")),
-        *(check(f"pools: {a} is within {b}", x) for a, b, x in zip(names, names[1:], nested, strict=False)),
     ]
 
 

@@ -28,7 +28,8 @@ def build(judged: DataFrame, universe: DataFrame, seed: int, targets: dict[str,
     that variant each query's places are cut to the deepest target as they are drawn.
     """
     queries = judged.groupBy("query_id").agg(F.count("*").alias("_judged"))
-    candidates = universe.select("doc_id").crossJoin(queries).join(judged.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    # Judged pairs grow with the documents: merged, as their files' size tells little of what a broadcast would take.
+    candidates = universe.select("doc_id").crossJoin(F.broadcast(queries)).join(judged.select("query_id", "doc_id").hint("merge"), ["query_id", "doc_id"], "left_anti")
     spark = judged.sparkSession
     bounded, full = {k: n for k, n in targets.items() if n is not None}, [(k,) for k, n in targets.items() if n is None]
     columns = ("query_id", "doc_id", F.lit("none").alias("relevance"), F.lit("distractor").alias("source"), "pool_variant")
