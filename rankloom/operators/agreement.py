@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rankloom.functions import text
 from rankloom.operators import evaluation
 from rankloom.operators.guards import GuardError, require_none
 
@@ -73,9 +72,7 @@ def kappa_interval(both: DataFrame, by: list[str], unit: str, labels: tuple[str,
     """by, n, agreement, kappa, ci_low, ci_high of columns a and b, resampling pairs; draws in which both sides are constant are left out."""
     k = len(labels)
     coded = both.select(*by, F.col(unit).alias("unit"), _codes(F.col("a"), F.col("b"), labels).alias("code"))
-    drawn = evaluation.resampled(coded, by, "unit", "code", draws, seed)
-    cells = F.transform(F.sequence(F.lit(0), F.lit(k * k - 1)), lambda c: F.size(F.filter("_v", lambda x: x == c)))
-    counted = drawn.select(*by, "_d", F.size("_v").alias("n"), text.once(cells).alias("c"))
+    counted = evaluation.resampled_counts(coded, by, "unit", "code", k * k, draws, seed)
     rows = [sum((F.col("c")[i * k + j] for j in range(k)), F.lit(0)) for i in range(k)]
     cols = [sum((F.col("c")[i * k + j] for i in range(k)), F.lit(0)) for j in range(k)]
     n = F.col("n")

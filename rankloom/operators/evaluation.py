@@ -76,6 +76,24 @@ def resampled(values: DataFrame, by: list[str], unit: str, value: str, draws: in
     return each.select(*by, "_d", text.once(drawn).alias("_v"))
 
 
+def resampled_counts(values: DataFrame, by: list[str], unit: str, code: str, codes: int, draws: int, seed: int) -> DataFrame:
+    """by, _d, n, c: how often each code from 0 stands in draw d, the draws being those of ``resampled``.
+
+    The hash of draw and place does not depend on the group, so it is taken once for all of them; no draw is ever held
+    as an array, as each of its places is counted where it is drawn. One row of bytes holds the groups' codes.
+    """
+    known = values.filter(F.col(code).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(unit).alias("u"), F.col(code).cast("tinyint").alias("v")))).alias("_a"))
+    groups = known.select(F.struct(*by, F.size("_a").alias("_n"), F.transform("_a", lambda x: x["v"]).alias("_v")).alias("_g")).agg(F.collect_list("_g").alias("_g"), F.max("_g._n").alias("_most"))
+    parts = groups.select("_g", "_most", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(_DRAWS_EACH))).alias("_from")).repartition(-(-draws // _DRAWS_EACH), "_from")
+    each = parts.select("_g", "_most", F.explode(F.sequence("_from", F.least(F.col("_from") + _DRAWS_EACH, F.lit(draws)) - 1)).alias("_d"))
+    places = each.select("_g", "_d", F.explode(F.sequence(F.lit(0), F.col("_most") - 1)).alias("_i"))
+    hashed = places.select("_g", "_d", "_i", text.once(F.conv(F.substring(order.digest(seed, F.col("_d"), F.col("_i")), 1, 8), 16, 10).cast("long")).alias("_h"))
+    taken = hashed.select("_d", "_i", "_h", F.explode("_g").alias("_g")).filter(F.col("_i") < F.col("_g._n"))
+    one = taken.select(*(F.col("_g")[c].alias(c) for c in by), "_d", F.col("_g._n").alias("n"), F.get("_g._v", (F.col("_h") % F.col("_g._n")).cast("int")).alias("_c"))
+    counted = one.groupBy(*by, "_d", "n").agg(*(F.count_if(F.col("_c") == c).alias(f"_c{c}") for c in range(codes)))
+    return counted.select(*by, "_d", "n", F.array(*(f"_c{c}" for c in range(codes))).alias("c"))
+
+
 def interval(drawn: DataFrame, by: list[str], value: str, places: int) -> DataFrame:
     """by, ci_low, ci_high: the middle 95 % of a value over draws."""
     low, high = (F.round(F.percentile(value, F.lit(p)), places) for p in (0.025, 0.975))

@@ -120,10 +120,11 @@ def current_labels(judged: DataFrame, current: str) -> DataFrame:
 def per_instrument(judged: DataFrame, truth: DataFrame, draws: int = 2000, seed: int = 0) -> DataFrame:
     """agent_sha256, scheme, n, agreement, kappa, ci_low, ci_high against truth (pair_id, label): three classes and two."""
     both = one_label(judged, "agent_sha256").select("agent_sha256", "pair_id", F.col("label").alias("b")).join(truth.select("pair_id", F.col("label").alias("a")), "pair_id")
-    three = agreement.kappa_interval(both, ["agent_sha256"], "pair_id", LABELS, draws, seed)
-    two = both.withColumn("a", agreement.binary(F.col("a"))).withColumn("b", agreement.binary(F.col("b")))
-    two = agreement.kappa_interval(two, ["agent_sha256"], "pair_id", ("relevant", "not relevant"), draws, seed)
-    return three.withColumn("scheme", F.lit("three")).unionByName(two.withColumn("scheme", F.lit("binary")))
+    # Classes are named by their place in their scheme, so that one resampling counts both schemes.
+    named = lambda c, names: F.coalesce(*(F.when(c == x, str(k)) for k, x in enumerate(names)), c)
+    three = both.select("agent_sha256", "pair_id", F.lit("three").alias("scheme"), *(named(F.col(c), LABELS).alias(c) for c in "ab"))
+    two = both.select("agent_sha256", "pair_id", F.lit("binary").alias("scheme"), *(named(agreement.binary(F.col(c)), ("relevant", "not relevant")).alias(c) for c in "ab"))
+    return agreement.kappa_interval(three.unionByName(two), ["scheme", "agent_sha256"], "pair_id", tuple(str(k) for k in range(len(LABELS))), draws, seed)
 
 
 def marginals(judged: DataFrame, drawn: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rankloom.operators import checks, pools
+from rankloom.operators import agreement, checks, evaluation, judge, pools
 
 
 def _plan(df):
@@ -39,3 +39,19 @@ def test_pools_are_built_without_a_broadcast_of_judged_pairs(spark):
     judged = spark.range(40).select((F.col("id") % 4).alias("query_id"), F.col("id").alias("doc_id"), F.lit("No Fit").alias("label"))
     plan = _plan(pools.build(judged, spark.range(60).select(F.col("id").alias("doc_id")), 0))
     assert "LeftAnti" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_draws_are_counted_and_not_held(spark):
+    labels = agreement.LABELS
+    rows = [(g, f"p{k:03}", labels[k * 7 % 3], labels[k * k % 3]) for g, n in (("x", 40), ("y", 23)) for k in range(n)] + [("y", "p900", "Great Fit", labels[0])]
+    both = spark.createDataFrame(rows, "grp string, pair_id string, a string, b string")
+    code = F.array_position(F.array(*map(F.lit, labels)), F.col("a")) - 1
+    coded = both.select("grp", "pair_id", F.when(code >= 0, code).alias("code"))
+    counted = evaluation.resampled_counts(coded, ["grp"], "pair_id", "code", 3, 120, 0)
+    held = evaluation.resampled(coded, ["grp"], "pair_id", "code", 120, 0)
+    assert {(r.grp, r._d): (r.n, r.c) for r in counted.collect()} == {(r.grp, r._d): (len(r._v), [r._v.count(c) for c in range(3)]) for r in held.collect()}
+    assert evaluation.resampled_counts(coded.filter("false"), ["grp"], "pair_id", "code", 3, 120, 0).count() == 0
+    report = judge.per_instrument(both.select(F.col("grp").alias("agent_sha256"), "pair_id", F.lit(1).alias("run"), F.col("b").alias("label")), both.filter("grp = 'x'").select("pair_id", F.col("a").alias("label")), 40)
+    plan = _plan(report)
+    assert plan.count("sha2(") == 1 and "lambda i_" not in plan  # one resampling for both schemes and all instruments
+    assert {(r.scheme, r.agent_sha256, r.n) for r in report.collect()} == {("three", "x", 40), ("three", "y", 23), ("binary", "x", 40), ("binary", "y", 23)}
