@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rankloom import shared
 from rankloom.functions import order, text
 from rankloom.operators.guards import GuardError
 
@@ -60,6 +61,8 @@ def grid(metrics: DataFrame, by: tuple[str, ...]) -> DataFrame:
 
 #: Draws that one row of a resampling makes.
 _DRAWS_EACH = 50
+#: Places of a draw that one row of a counted resampling makes, and hashes that one of its tasks takes at most, but for one row.
+_PLACES_EACH, _HASHES_EACH = 1 << 14, 1 << 22
 
 
 def resampled(values: DataFrame, by: list[str], unit: str, value: str, draws: int, seed: int) -> DataFrame:
@@ -76,22 +79,41 @@ def resampled(values: DataFrame, by: list[str], unit: str, value: str, draws: in
     return each.select(*by, "_d", text.once(drawn).alias("_v"))
 
 
+def _ordered_codes(values: DataFrame, by: list[str], unit: str, code: str) -> DataFrame:
+    """One row: _g, the groups (by, _k, _n, and _at, the place where they begin) and _v, all their codes as bytes, in order of unit within a group; _most, the size of the largest.
+
+    Rows are dealt by range of group and unit, so that no task orders a whole group; only the bytes meet.
+    """
+    known = values.filter(F.col(code).isNotNull()).select(F.struct(F.lit(0).alias("_0"), *by).alias("_by"), F.col(unit).alias("u"), F.col(code).cast("tinyint").alias("v"))
+    dealt = known.repartitionByRange(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_by", "u").withColumn("_p", F.spark_partition_id())
+    chunks = dealt.groupBy("_by", "_p").agg(F.array_sort(F.collect_list(F.struct("u", "v"))).alias("_a")).select("_by", "_p", F.transform("_a", lambda x: x["v"]).alias("_a"))
+    each = chunks.groupBy("_by").agg(F.array_sort(F.collect_list(F.struct("_p", "_a"))).alias("_a")).select("_by", F.flatten(F.transform("_a", lambda x: x["_a"])).alias("_a"))
+    one = each.select("_by", F.size("_a").cast("long").alias("_n"), "_a").agg(F.collect_list(F.struct("_by", "_n", "_a")).alias("_all"), F.max("_n").alias("_most"))
+    sizes = F.transform("_all", lambda x: x["_n"])
+    before = lambda k: F.aggregate(F.slice(sizes, 1, k), F.lit(0).cast("long"), lambda s, n: s + n)
+    groups = F.transform("_all", lambda x, k: F.struct(x["_by"].alias("_by"), k.alias("_k"), x["_n"].alias("_n"), before(k).alias("_at")))
+    return one.select(groups.alias("_g"), F.flatten(F.transform("_all", lambda x: x["_a"])).alias("_v"), "_most")
+
+
 def resampled_counts(values: DataFrame, by: list[str], unit: str, code: str, codes: int, draws: int, seed: int) -> DataFrame:
     """by, _d, n, c: how often each code from 0 stands in draw d, the draws being those of ``resampled``.
 
     The hash of draw and place does not depend on the group, so it is taken once for all of them; no draw is ever held
-    as an array, as each of its places is counted where it is drawn. One row of bytes holds the groups' codes.
+    as an array, as each of its places is counted where it is drawn. Draws and places are dealt over tasks of like size.
     """
-    known = values.filter(F.col(code).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(unit).alias("u"), F.col(code).cast("tinyint").alias("v")))).alias("_a"))
-    groups = known.select(F.struct(*by, F.size("_a").alias("_n"), F.transform("_a", lambda x: x["v"]).alias("_v")).alias("_g")).agg(F.collect_list("_g").alias("_g"), F.max("_g._n").alias("_most"))
-    parts = groups.select("_g", "_most", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(_DRAWS_EACH))).alias("_from")).repartition(-(-draws // _DRAWS_EACH), "_from")
-    each = parts.select("_g", "_most", F.explode(F.sequence("_from", F.least(F.col("_from") + _DRAWS_EACH, F.lit(draws)) - 1)).alias("_d"))
-    places = each.select("_g", "_d", F.explode(F.sequence(F.lit(0), F.col("_most") - 1)).alias("_i"))
-    hashed = places.select("_g", "_d", "_i", text.once(F.conv(F.substring(order.digest(seed, F.col("_d"), F.col("_i")), 1, 8), 16, 10).cast("long")).alias("_h"))
-    taken = hashed.select("_d", "_i", "_h", F.explode("_g").alias("_g")).filter(F.col("_i") < F.col("_g._n"))
-    one = taken.select(*(F.col("_g")[c].alias(c) for c in by), "_d", F.col("_g._n").alias("n"), F.get("_g._v", (F.col("_h") % F.col("_g._n")).cast("int")).alias("_c"))
-    counted = one.groupBy(*by, "_d", "n").agg(*(F.count_if(F.col("_c") == c).alias(f"_c{c}") for c in range(codes)))
-    return counted.select(*by, "_d", "n", F.array(*(f"_c{c}" for c in range(codes))).alias("c"))
+    groups = shared.kept(_ordered_codes(values, by, unit, code), "codes")
+    most = groups.select("_most").first()[0] or 0
+    blocks = max(1, -(-most // _PLACES_EACH))
+    tasks = max(-(-draws // _DRAWS_EACH), -(-draws * most // _HASHES_EACH))
+    parts = values.sparkSession.range(0, draws * blocks if most else 0, 1, tasks).select(F.floor(F.col("id") / blocks).alias("_d"), (F.col("id") % blocks * _PLACES_EACH).alias("_from"))
+    places = parts.crossJoin(F.broadcast(groups)).select("_g", "_v", "_d", F.explode(F.sequence("_from", F.least(F.col("_from") + _PLACES_EACH, "_most") - 1)).alias("_i"))
+    hashed = places.select("_g", "_v", "_d", "_i", F.conv(F.substring(order.digest(seed, F.col("_d"), F.col("_i")), 1, 8), 16, 10).cast("long").alias("_h"))
+    taken = hashed.select("_v", "_d", "_i", "_h", F.explode("_g").alias("_g")).filter(F.col("_i") < F.col("_g._n"))
+    one = taken.select("_d", F.col("_g._k").alias("_k"), F.get("_v", (F.col("_g._at") + F.col("_h") % F.col("_g._n")).cast("int")).alias("_c"))
+    cells = one.groupBy("_d", "_k", "_c").agg(F.count("*").alias("_m"))
+    counted = cells.groupBy("_d", "_k").agg(F.array(*(F.sum(F.when(F.col("_c") == c, F.col("_m")).otherwise(0)) for c in range(codes))).alias("c"))
+    named = groups.select(F.explode("_g").alias("_g")).select("_g._k", *(F.col("_g._by")[c].alias(c) for c in by), F.col("_g._n").alias("n"))
+    return counted.join(F.broadcast(named), "_k").select(*by, "_d", "n", "c")
 
 
 def interval(drawn: DataFrame, by: list[str], value: str, places: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rankloom import shared
 from rankloom.functions import text
 from rankloom.operators import agreement, annotation
 from rankloom.operators.agreement import LABELS
@@ -120,6 +121,7 @@ def current_labels(judged: DataFrame, current: str) -> DataFrame:
 def per_instrument(judged: DataFrame, truth: DataFrame, draws: int = 2000, seed: int = 0) -> DataFrame:
     """agent_sha256, scheme, n, agreement, kappa, ci_low, ci_high against truth (pair_id, label): three classes and two."""
     both = one_label(judged, "agent_sha256").select("agent_sha256", "pair_id", F.col("label").alias("b")).join(truth.select("pair_id", F.col("label").alias("a")), "pair_id")
+    both = shared.kept(both, "judged_and_truth")
     # Classes are named by their place in their scheme, so that one resampling counts both schemes.
     named = lambda c, names: F.coalesce(*(F.when(c == x, str(k)) for k, x in enumerate(names)), c)
     three = both.select("agent_sha256", "pair_id", F.lit("three").alias("scheme"), *(named(F.col(c), LABELS).alias(c) for c in "ab"))

@@ -1,5 +1,7 @@
 """Plans that hold when tables grow, and the results of the forms they replaced."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from rankloom.operators import agreement, checks, evaluation, judge, pools, sampling, scoring
@@ -57,6 +59,33 @@ def test_draws_are_counted_and_not_held(spark):
     assert {(r.scheme, r.agent_sha256, r.n) for r in report.collect()} == {("three", "x", 40), ("three", "y", 23), ("binary", "x", 40), ("binary", "y", 23)}
 
 
+def test_kappa_interval_of_groups_whose_square_exceeds_an_int(spark):
+    labels, n = agreement.LABELS, 46_400
+    code = {"big": lambda k: (k % 3, k % 7 % 3), "small": lambda k: (k % 2, k % 5 % 3)}
+    name = lambda x: F.element_at(F.array(*map(F.lit, labels)), x.cast("int") + 1)
+    made = [spark.range(m).select(F.lit(g).alias("grp"), F.format_string("%05d", "id").alias("pair_id"), *(name(x).alias(c) for c, x in zip("ab", code[g](F.col("id")), strict=True))) for g, m in (("big", n), ("small", 50))]
+    got = {r.grp: r for r in agreement.kappa_interval(made[0].unionByName(made[1]), ["grp"], "pair_id", draws=9).collect()}
+    for grp, m in (("big", n), ("small", 50)):
+        pairs, drawn = [code[grp](k) for k in range(m)], []
+        for d in range(9):
+            taken = [pairs[int(hashlib.sha256(f"0|{d}|{i}".encode()).hexdigest()[:8], 16) % m] for i in range(m)]
+            po, pe = sum(a == b for a, b in taken) / m, sum(sum(a == x for a, _ in taken) * sum(b == x for _, b in taken) for x in range(3)) / m**2
+            drawn.append((po - pe) / (1 - pe))
+        at = lambda p, v=sorted(drawn): v[int(8 * p)] + (8 * p - int(8 * p)) * (v[int(8 * p) + 1] - v[int(8 * p)])
+        assert got[grp].n == m and abs(got[grp].ci_low - at(0.025)) < 1e-5 and abs(got[grp].ci_high - at(0.975)) < 1e-5
+    assert agreement.kappa_interval(made[1].drop("grp"), [], "pair_id", draws=9).first()["ci_low"] == got["small"].ci_low
+
+
+def test_codes_of_a_group_are_ordered_in_parts(spark):
+    rows = [(g, k * 7919 % 997, k % 9) for g, n in ((None, 997), ("x", 500)) for k in range(n)] + [("x", 3, 8), ("x", None, 2), ("y", 1, None)]
+    found = evaluation._ordered_codes(spark.createDataFrame(rows, "grp string, unit long, code int"), ["grp"], "unit", "code")
+    assert "rangepartitioning" in _plan(found)
+    one = found.first()
+    key = lambda x: (x[1] is not None, x[1] or 0, x[2])
+    assert {g._by.grp: (g._n, list(one._v[g._at : g._at + g._n])) for g in one._g} == {grp: (len(own), [x[2] for x in own]) for grp in (None, "x") for own in [sorted((x for x in rows if x[0] == grp and x[2] is not None), key=key)]}
+    assert one._most == 997 and len(one._v) == sum(g._n for g in one._g) and sorted(g._k for g in one._g) == [0, 1]
+
+
 def test_banded_pick_without_rows_of_pairs(spark):
     queries = spark.createDataFrame([(q, g) for q in range(30) for g in ([1, 2, 3, 9, None][q % 5],)], "query_id long, keyword long").unionByName(spark.createDataFrame([(0, 1), (0, 2)], "query_id long, keyword long"))
     docs = [(d, 1) for d in range(400)] + [(d, 1) for d in range(5)] + [(d, 2) for d in range(1000, 1060)] + [(1, 3), (2, 3), (3, None)]
